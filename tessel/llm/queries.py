@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessel.llm import mixing, quality, simhash
+from tessel.llm import decontamination, mixing, quality, secrets, sentences, simhash
 
 QUERIES = {
+    "op1_secret_scans": secrets.op1,
+    "op2_decontamination": decontamination.op2,
     "op3_simhash_near_dedup": simhash.op3,
     "op4_quality_classifier": quality.op4,
     "op8_mixing": mixing.op8,
+    "op10_sentence_spans": sentences.op10,
 }
 
 SQL = {
