@@ -131,12 +131,12 @@ def part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") % 900 + 100).alias("width"), (F.col("p_size").cast("long") * 10 + 50).alias("height"), long(64).alias("block_w"), long(32).alias("block_h"))
 
 
-@query(f"WITH {BLOCK_SQL} SELECT image_id, bx, "by", x0, y0, w, h FROM blocks")
+@query(f"WITH {BLOCK_SQL} SELECT image_id, bx, \"by\", x0, y0, w, h FROM blocks")
 def block_index(spark, sf_dir):
     return pixels.block_table(part_images(spark, sf_dir)).select("image_id", "bx", "by", "x0", "y0", "w", "h")
 
 
-@query(f"WITH {BLOCK_SQL} SELECT image_id, bx, "by" FROM blocks WHERE x0 < 300 AND x0 + 64 > 100 AND y0 < 90 AND y0 + 32 > 40")
+@query(f"WITH {BLOCK_SQL} SELECT image_id, bx, \"by\" FROM blocks WHERE x0 < 300 AND x0 + 64 > 100 AND y0 < 90 AND y0 + 32 > 40")
 def block_prune(spark, sf_dir):
     return pixels.pruned(pixels.block_table(part_images(spark, sf_dir)), Window(100, 40, 300, 90)).select("image_id", "bx", "by")
 
@@ -464,3 +464,81 @@ def content_range_parse(spark, sf_dir):
     size = F.when(k % 2 == 0, (k * 100).cast("string")).otherwise("*")
     header = F.when(k % 3 != 0, F.concat(F.lit("bytes "), (k * 10).cast("string"), F.lit("-"), (k * 10 + 9).cast("string"), F.lit("/"), size)).otherwise("bytes none")
     return table(spark, sf_dir, "customer").select("c_custkey", collections.content_range(header).alias("r")).select("c_custkey", "r.first", "r.last", "r.size")
+
+
+# --- codecs and files --------------------------------------------------------------------
+
+ROUND_SQL = "SELECT doc_id, octet_length(encode(text))::BIGINT AS size, sha256(text) AS digest FROM documents"
+
+
+def round_trip(name: str, compression: int):
+    def run(spark, sf_dir):
+        import pyarrow as pa
+
+        from tessel.sources.codecs import ENCODERS, get_decoder
+
+        def both(batches):
+            for batch in batches:
+                data = [ENCODERS[compression](t.as_py().encode()) for t in batch.column(1)]
+                out = [get_decoder(compression)(d) for d in data]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "data"])
+
+        rows = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(both, "doc_id long, data binary")
+        return rows.select("doc_id", F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("digest"))
+
+    run.__name__ = f"{name}_roundtrip"
+    query(ROUND_SQL)(run)
+
+
+for _name, _id in (("raw", 1), ("lzw", 5), ("deflate", 8), ("packbits", 32773), ("zstd", 50000)):
+    round_trip(_name, _id)
+
+
+def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file of each row of E: 64 x 1 pixels of doubles."""
+    from tessel.operators import dataset
+
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("e"), F.col("vec_id").cast("string")).alias("path"), F.size("embedding").alias("width"), F.lit(1).alias("height"), F.lit(1).alias("samples"), F.col("embedding").cast("array<double>").alias("values"))
+    return dataset.written(rows, ["path"])
+
+
+@query(f"WITH {E_SQL} SELECT 'e' || y AS path, x, value FROM e")
+def writer_roundtrip(spark, sf_dir):
+    """Rows of E written as files, and their pixels read from the files' bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessel.operators.dataset import from_bytes
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                (band,) = from_bytes(content.as_py()).image(0).read_rasters()
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * band.size), pa.array(np.arange(band.size)), pa.array(band.ravel())], names=["path", "x", "value"])
+
+    return strips(spark, sf_dir).mapInArrow(run, "path string, x long, value double")
+
+
+@query("SELECT 'e' || vec_id AS path, t.tag::INTEGER AS tag, t.name AS name, t.value::DOUBLE AS value FROM embeddings, LATERAL (SELECT unnest([256, 257, 258, 259, 262, 277, 278, 279, 284, 339]) AS tag, unnest(['ImageWidth', 'ImageLength', 'BitsPerSample', 'Compression', 'PhotometricInterpretation', 'SamplesPerPixel', 'RowsPerStrip', 'StripByteCounts', 'PlanarConfiguration', 'SampleFormat']) AS name, unnest([len(embedding), 1, 64, 1, 1, 1, 1, len(embedding) * 8, 1, 3]) AS value) t")
+def ifd_tags(spark, sf_dir):
+    from tessel.operators import dataset
+
+    rows = dataset.ifd_tags(strips(spark, sf_dir))
+    return rows.where(F.col("tag").isin(256, 257, 258, 259, 262, 277, 278, 279, 284, 339)).select("path", "tag", "name", F.col("value.numbers")[0].alias("value"))
+
+
+@query("SELECT 'e' || vec_id AS path, k.key_id::INTEGER AS key_id, k.name AS name, CASE k.key_id WHEN 1024 THEN '2' WHEN 2048 THEN '4326' ELSE 'WGS 84' END AS value FROM embeddings, LATERAL (SELECT unnest([1024, 2048, 2049]) AS key_id, unnest(['GTModelTypeGeoKey', 'GeographicTypeGeoKey', 'GeogCitationGeoKey']) AS name) k")
+def geo_keys(spark, sf_dir):
+    from tessel.operators import dataset
+
+    value = F.coalesce(F.col("value.text"), F.col("value.numbers")[0].cast("long").cast("string"))
+    return dataset.geo_keys(strips(spark, sf_dir)).select("path", "key_id", "name", value.alias("value"))
+
+
+@query("SELECT 'e' || vec_id AS path, 0 AS image_id, len(embedding)::BIGINT AS width, 1::BIGINT AS height, 1 AS spp, false AS tiled, -180.0::DOUBLE AS origin_x, 90.0::DOUBLE AS origin_y, 360::DOUBLE / len(embedding) AS res_x FROM embeddings")
+def open_images(spark, sf_dir):
+    """The table of images of files, and georeferencing over it."""
+    from tessel.operators import dataset
+
+    o, r = georeference.origin(), georeference.resolution()
+    return dataset.images(strips(spark, sf_dir)).select("path", "image_id", "width", "height", "spp", "tiled", o[0].alias("origin_x"), o[1].alias("origin_y"), r[0].alias("res_x"))
