@@ -62,7 +62,7 @@ def decoded(image: Directory, fetch: Fetch, bx: int, by: int, sample: int, regis
         empty = unpacked(b"", w, h, bits, formats, image.order)
         nodata = image.nodata
         if nodata is not None:
-            empty = [np.full_like(a, nodata if a.dtype.kind == "f" else int(nodata) if nodata == nodata else 0, casting="unsafe") for a in empty]
+            empty = [np.full(a.shape, nodata if a.dtype.kind == "f" else int(nodata) if np.isfinite(nodata) else 0).astype(a.dtype) for a in empty]
         return Block(*where, empty)
     data = get_decoder(image.compression, registry)(fetch(offset, count))
     data, order = unpredicted(data, image.predictor, w, h, bits, len(held), image.order)
