@@ -46,3 +46,8 @@ def words(text: Column) -> Column:
 
 def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
+
+
+def named(value: Column, function) -> Column:
+    """function of value, which is computed once however often function uses it, also inside lambdas."""
+    return F.transform(F.array(value), function)[0]

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import checkpointed, table, with_row_id
+from tessel.llm.common import checkpointed, named, table, with_row_id
 
 REACH = 200
 #: By kind, in the order of report: the pattern, and the least length of its group 2, if it has one, or else of the match.
@@ -61,9 +61,12 @@ def ends(lengths: Column) -> Column:
 
     count = F.ceil(F.size(lengths) / BLOCK).cast("int")
     blocks = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), count)), lambda i: i <= count), lambda i: run(F.slice(lengths, (i - 1) * BLOCK + 1, F.lit(BLOCK))))
-    totals = F.transform(blocks, lambda b: F.element_at(b, -1))
-    sums = run(totals)
-    return F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.element_at(sums, i + 1) - F.element_at(totals, i + 1))))
+
+    def shifted(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.element_at(b, -1))
+        return named(run(totals), lambda sums: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.element_at(sums, i + 1) - F.element_at(b, -1)))))
+
+    return named(blocks, shifted)
 
 
 def spans(text: Column, kind: str) -> Column:
@@ -72,12 +75,15 @@ def spans(text: Column, kind: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if "(" in pattern.removeprefix("(?i)") else found
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    stops = ends(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda z: F.array(F.length(z["g"]), F.length(z["m"])))))
-    every = F.transform(
-        F.arrays_zip(found.alias("m"), sized.alias("v")),
-        lambda z, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), (F.element_at(stops, 2 * i + 2) - F.length(z["m"])).alias("begin"), F.element_at(stops, 2 * i + 2).alias("end"), F.length(z["v"]).alias("n")),
-    )
-    kept = F.transform(F.filter(every, lambda s: s["n"] >= least), lambda s: F.struct(s["kind"], s["begin"], s["end"]))
+    stops = named(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda z: F.array(F.length(z["g"]), F.length(z["m"])))), ends)
+
+    def placed(stops: Column) -> Column:
+        return F.transform(
+            F.arrays_zip(found.alias("m"), sized.alias("v")),
+            lambda z, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), (F.element_at(stops, 2 * i + 2) - F.length(z["m"])).alias("begin"), F.element_at(stops, 2 * i + 2).alias("end"), F.length(z["v"]).alias("n")),
+        )
+
+    kept = F.transform(F.filter(named(stops, placed), lambda s: s["n"] >= least), lambda s: F.struct(s["kind"], s["begin"], s["end"]))
     return F.when(F.regexp_like(text, F.lit(pattern)), kept).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -124,7 +130,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     return parts.join(extra, ROW, "left").withColumn("spans", by_place(merged)).withColumn("base", by_place(F.col("base"))).drop("parts", "extra")
 
 
-def named(found: Column) -> Column:
+def written(found: Column) -> Column:
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["begin"], s["end"])), ",")
 
@@ -135,8 +141,9 @@ def scan(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<begin:int,kind:int,end:int>>")
     clean = rows.where(~any_part(F.col("text"))).select("doc_id", none.alias("base"), none.alias("spans"))
     both = clean.union(scanned(rows).select("doc_id", "base", "spans"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
-    return both.select("doc_id", *counts, F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+    of_kind = lambda i: F.filter("base", lambda s: s["kind"] == i)
+    counts = [F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    return both.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
