@@ -42,15 +42,15 @@ class Convnet:
         if not texts:
             return np.zeros(0)
         data, halves = packed(texts)
-        tops, _ = self.tops(data)
+        tops = self.tops(data, halves)
         return 1 / (1 + np.exp(-self.logits(tops, halves)[0]))
 
-    def tops(self, data: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """For each half chunk and filter the largest value, and its position if asked."""
+    def tops(self, data: np.ndarray, halves: np.ndarray) -> np.ndarray:
+        """For each half chunk and filter the largest value."""
         n = len(data) - WIDTH
+        last = is_last(halves)
         two = data[:-1].astype(np.int32) * 256 + data[1:]
         tops = np.empty((n // HALF, FILTERS), np.float32)
-        at = np.empty((n // HALF, FILTERS), np.int32) if where else None
         for a in range(0, n, SLICE):
             b = min(n, a + SLICE)
             value = self.pairs[0][two[a:b]]
@@ -58,10 +58,9 @@ class Convnet:
                 value += self.pairs[j][two[a + 2 * j : b + 2 * j]]
             value = value.reshape(-1, HALF, FILTERS)
             part = slice(a // HALF, b // HALF)
-            if where:
-                at[part] = value.argmax(1)
+            value[last[part], 1 - WIDTH :] = -np.inf
             tops[part] = value.max(1)
-        return tops, at
+        return tops
 
     def logits(self, tops: np.ndarray, halves: np.ndarray):
         """Of each document, from its half chunks; and what the gradient needs."""
@@ -75,7 +74,15 @@ class Convnet:
         mean = np.add.reduceat(active, begins) / halves[:, None]
         most = np.maximum.reduceat(active, begins)
         features = np.concatenate([mean, most], 1)
-        return features @ self.out + self.base, (features, active, late, after, begins)
+        # a row's sum in double precision doesn't depend on the rows beside it
+        return (features.astype(np.float64) * self.out).sum(1) + self.base, (features, active, late, after, begins)
+
+
+def is_last(halves: np.ndarray) -> np.ndarray:
+    """Whether a half chunk is a document's last; its last WIDTH - 1 positions, past the filling of zeros, see the next document and don't count."""
+    out = np.zeros(int(halves.sum()), bool)
+    out[np.cumsum(halves) - 1] = True
+    return out
 
 
 def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +129,7 @@ def fitted(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int =
 def gradient(net: Convnet, texts: list[bytes], y: np.ndarray) -> list[np.ndarray]:
     """Of the mean loss, by layer, bias, out and base."""
     data, halves = packed(texts)
-    tops, at = narrow(net, data)
+    tops, at = narrow(net, data, halves)
     logit, (features, active, late, after, begins) = net.logits(tops, halves)
     wrong = ((1 / (1 + np.exp(-logit)) - y) / len(y)).astype(np.float32)
     document = np.repeat(np.arange(len(texts)), halves)
@@ -142,9 +149,10 @@ def gradient(net: Convnet, texts: list[bytes], y: np.ndarray) -> list[np.ndarray
     return [layer, flow.sum(0), features.T.astype(np.float32) @ wrong, np.array([wrong.sum()], np.float32)]
 
 
-def narrow(net: Convnet, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def narrow(net: Convnet, data: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """tops() with positions, from single bytes: while fitting, tables of pairs would be made anew at each step."""
     n = len(data) - WIDTH
+    last = is_last(halves)
     tops, at = np.empty((n // HALF, FILTERS), np.float32), np.empty((n // HALF, FILTERS), np.int32)
     for a in range(0, n, SLICE):
         b = min(n, a + SLICE)
@@ -153,5 +161,6 @@ def narrow(net: Convnet, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             value += net.layer[j][data[a + j : b + j]]
         value = value.reshape(-1, HALF, FILTERS)
         part = slice(a // HALF, b // HALF)
+        value[last[part], 1 - WIDTH :] = -np.inf
         at[part], tops[part] = value.argmax(1), value.max(1)
     return tops, at

@@ -50,7 +50,7 @@ TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 HINT = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
-#: Scores of a word by where it stands (outside: on a page that marks its article, not in it), and of a tag.
+#: Scores of a word by where it stands (outside: on a page that marks its article, not in it), and of a tag. What is never content inside an article (inner) is neutral: it neither ends the region nor holds it together.
 WEIGHTS = {"word:main": 4.0, "word:body": 1.0, "word:outside": -4.0, "word:link": -1.5, "word:aside": -6.0, "tag:block": -0.6, "tag:inline": -0.2, "tag:link": -1.2, "tag:aside": -8.0, "tag:main": 0.0}
 
 
@@ -72,7 +72,7 @@ class Page:
                 raw = ""
                 continue
             if text[0] != "<" or len(text) == 1:
-                place = "aside" if aside else "link" if link and not main else "main" if main else "body"
+                place = ("inner" if main else "aside") if aside else "link" if link and not main else "main" if main else "body"
                 self.tokens.append(("word", place, text, False))
                 continue
             name = NAME.match(text)
@@ -114,7 +114,7 @@ class Page:
                 aside += is_aside
                 main += tag in MAIN
                 link += tag == "a"
-            place = "aside" if aside else "main" if tag in MAIN else "link" if tag == "a" else "inline" if inline else "block"
+            place = ("inner" if main else "aside") if aside else "main" if tag in MAIN else "link" if tag == "a" else "inline" if inline else "block"
             self.tokens.append(("tag", place, "", not inline))
         if any(kind == "word" and place == "main" and text.strip() for kind, place, text, _ in self.tokens):
             self.tokens = [(kind, "outside" if place == "body" else place, text, breaks) for kind, place, text, breaks in self.tokens]
@@ -145,7 +145,7 @@ class Page:
             piece.clear()
 
         for kind, place, text, breaks in self.tokens[begin:end]:
-            if kind == "word" and place != "aside":
+            if kind == "word" and place not in ("aside", "inner"):
                 piece.append(text)
             elif kind == "tag" and breaks:
                 close()

@@ -30,23 +30,25 @@ Further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import checkpointed, table, with_row_id
+from tessel.llm.common import table, with_row_id
 from tessel.llm.induced import DEPTH, suffixes
 
 SIZE, GRAM = DEPTH, 16
 SPAN = SIZE - GRAM
 #: Documents of a batch, as a power of two.
-BATCH = 8
+BATCH = 10
 #: Documents for each shard of contexts.
-SHARD = 4000
+SHARD = 1500
 #: Bytes of a document whose anchors are found at once.
 PIECE = 1 << 22
 LAST = (1 << 63) - 1
@@ -135,12 +137,32 @@ def shared(anchors: DataFrame) -> DataFrame:
     return anchors.repartition("h").sortWithinPartitions("h").mapInArrow(run, "batch long, h long")
 
 
-def gathered(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-    """docs: batch, row, doc_id, text of one batch; wanted: its shared anchors. Each distinct context once: h, batch, context, low, high (the least and greatest doc_id)."""
+def packed(rows: DataFrame) -> DataFrame:
+    """rows: batch, row, doc_id, text, with text as compressed bytes: texts are most of what is shuffled."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            data = [press.compress((t.as_py() or "").encode()) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(data, pa.binary())], names=["batch", "row", "doc_id", "data"])
+
+    return rows.mapInArrow(run, f"batch long, row long, doc_id {kind}, data binary")
+
+
+def texts(docs: pa.Table) -> Iterator[tuple[int | None, bytes]]:
+    """docs: packed(). doc_id and text of each."""
+    press = zstandard.ZstdDecompressor()
+    for doc, data in zip(docs.column("doc_id").to_pylist(), docs.column("data"), strict=True):
+        yield doc, press.decompress(data.as_py())
+
+
+def gathered(docs: pa.Table, wanted: pa.Table, shards: int) -> pa.Table:
+    """docs: packed(), of one batch; wanted: its shared anchors. Each distinct context once: shard, batch, context, low, high (the least and greatest doc_id)."""
     known = np.unique(wanted.column("h").to_numpy())
     found: dict[bytes, list[int]] = {}
-    for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text"), strict=True):
-        data, doc = (text.as_py() or "").encode(), number(doc)
+    for doc, data in texts(docs):
+        doc = number(doc)
         first, n, h = contexts(data)
         at = np.searchsorted(known, h) if len(known) else np.zeros(0, np.int64)
         hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == h) if len(known) else at
@@ -148,19 +170,19 @@ def gathered(docs: pa.Table, wanted: pa.Table) -> pa.Table:
             seen = found.setdefault(data[a : a + k + SIZE - 1], [x, doc, doc])
             seen[1], seen[2] = min(seen[1], doc), max(seen[2], doc)
     batch = docs.column("batch")[0].as_py() if docs.num_rows else 0
-    columns = [[v[0] for v in found.values()], [batch] * len(found), list(found), [v[1] for v in found.values()], [v[2] for v in found.values()]]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["h", "batch", "context", "low", "high"])
+    columns = [[v[0] % shards for v in found.values()], [batch] * len(found), list(found), [v[1] for v in found.values()], [v[2] for v in found.values()]]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["shard", "batch", "context", "low", "high"])
 
 
 def resolved(shard: pa.Table) -> pa.Table:
-    """A shard's contexts as batches have them; to each that may lose bytes: batch, key (a hash of the context), firsts (each string's first document)."""
+    """A shard's contexts as batches have them; to each that may lose bytes: batch, key (a hash of the context), firsts (each string's first document; one number if it's the same for all)."""
     coded = shard.column("context").combine_chunks().dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    index, texts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    low = np.full(len(texts), LAST)
+    index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    low = np.full(len(distinct), LAST)
     np.minimum.at(low, index, shard.column("low").to_numpy())
-    data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int32) + 1
-    sizes = np.array([len(t) for t in texts])
+    data = np.frombuffer(b"\0".join(distinct) + b"\0", np.uint8).astype(np.int32) + 1
+    sizes = np.array([len(t) for t in distinct])
     ends = np.cumsum(sizes + 1) - 1
     data[ends] = 0  # below every byte
     place, common = suffixes(data)
@@ -175,30 +197,34 @@ def resolved(shard: pa.Table) -> pa.Table:
     for i, batch, high in zip(index.tolist(), shard.column("batch").to_pylist(), shard.column("high").to_pylist(), strict=True):
         mine = first[ends[i] - sizes[i] : ends[i] - SIZE + 1]
         if (mine < high).any():
-            rows.append((batch, xxhash.xxh3_128_digest(texts[i]), mine.tobytes()))
-    return pa.table([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["batch", "key", "firsts"])
+            rows.append((batch, key_of(distinct[i]), mine[: 1 if (mine == mine[0]).all() else None].tobytes()))
+    return pa.table([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["batch", "key", "firsts"])
+
+
+def key_of(context: bytes) -> int:
+    """64 bits tell the contexts of one batch apart."""
+    return xxhash.xxh3_64_intdigest(context) - (1 << 63)
 
 
-def marked(data: bytes, doc: int, firsts: dict[bytes, np.ndarray]) -> np.ndarray:
+def marked(data: bytes, doc: int, firsts: dict[int, np.ndarray]) -> np.ndarray:
     """Which bytes go."""
     change = np.zeros(len(data) + 1, np.int64)
     if firsts:
         begin, n, _ = contexts(data)
         for a, k in zip(begin.tolist(), n.tolist(), strict=True):
-            found = firsts.get(xxhash.xxh3_128_digest(data[a : a + k + SIZE - 1]))
+            found = firsts.get(key_of(data[a : a + k + SIZE - 1]))
             if found is not None:
-                hit = np.flatnonzero(found < doc)
+                hit = np.flatnonzero(np.broadcast_to(found, k) < doc)
                 np.add.at(change, hit + a, 1)
                 np.add.at(change, hit + a + SIZE, -1)
     return np.cumsum(change)[:-1] > 0
 
 
 def cleaned(docs: pa.Table, found: pa.Table) -> pa.Table:
-    """docs: batch, row, doc_id, text; found: resolved(). Per document: doc_id, n_bytes, n_removed, n_spans, kept."""
+    """docs: packed(); found: resolved(). Per document: doc_id, n_bytes, n_removed, n_spans, kept."""
     firsts = {k: np.frombuffer(f, np.int64) for k, f in zip(found.column("key").to_pylist(), found.column("firsts").to_pylist(), strict=True)}
     out: list[list] = [[], [], [], []]
-    for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text"), strict=True):
-        data = (text.as_py() or "").encode()
+    for doc, data in texts(docs):
         gone = marked(data, number(doc), firsts)
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
         for o, x in zip(out, (len(data), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)), kept), strict=True):
@@ -211,10 +237,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = with_row_id(docs.select("doc_id", "text"), "row").select(F.shiftright("row", BATCH).alias("batch"), "row", "doc_id", "text")
-    wanted = checkpointed(shared(anchored(rows.select("batch", "doc_id", "text"))))
+    wanted = shared(anchored(rows.select("batch", "doc_id", "text")))
+    rows = packed(rows)
     shards = 1 + docs.count() // SHARD
-    each = rows.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(gathered, "h long, batch long, context binary, low long, high long")
-    found = each.groupBy(F.pmod(F.col("h"), F.lit(shards)).alias("shard")).applyInArrow(resolved, "batch long, key binary, firsts binary")
+    gather = partial(gathered, shards=shards)
+    each = rows.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(lambda a, b: gather(a, b), "shard long, batch long, context binary, low long, high long")
+    found = each.groupBy("shard").applyInArrow(resolved, "batch long, key long, firsts binary")
     return rows.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(cleaned, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
