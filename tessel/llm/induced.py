@@ -136,18 +136,14 @@ def types(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is S-type; the last is."""
     n = len(text)
     changes = np.flatnonzero(text[1:] != text[:-1])
-    after = np.searchsorted(changes, np.arange(n))
-    out = np.ones(n, bool)
-    inside = after < len(changes)
-    at = changes[after[inside]]
-    out[inside] = text[at] < text[at + 1]
-    return out
+    rising = np.append(text[changes] < text[changes + 1], True)
+    return np.repeat(rising, np.diff(np.append(np.append(-1, changes), n - 1)))
 
 
 def induced(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, common: np.ndarray, held: int = HELD) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in descending order, each with what it has in common with the one before it. seeds: LMS places, ascending; common: with the seed before."""
     top = int(text.max())
-    groups = np.searchsorted(text[seeds], np.arange(top + 2))
+    groups = np.searchsorted(text[seeds], np.arange(top + 2).astype(text.dtype))
     queues = Queues(held)
     scan = Scan(text, ~small, queues)
     large: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -201,7 +197,8 @@ def induced(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, common: np.n
 
 
 def suffixes(text: np.ndarray, held: int = HELD) -> tuple[np.ndarray, np.ndarray]:
-    """text: small integers, its end a symbol less than all others. All suffixes in descending order of DEPTH symbols or more, each with what it has in common with the one before it, up to DEPTH."""
+    """text: integers below 2^16, its end a symbol less than all others. All suffixes in descending order of DEPTH symbols or more, each with what it has in common with the one before it, up to DEPTH."""
+    text = text.astype(np.uint16)  # sorted by radix, and small in caches
     n = len(text)
     small = types(text)
     lms = np.flatnonzero(small & np.append(False, ~small[:-1]))
@@ -248,13 +245,18 @@ def changed(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def neighbours_common(text: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """What each suffix of seeds has in common with the one before, up to DEPTH."""
-    out = np.zeros(len(seeds), np.uint8)
+    """What each suffix of seeds has in common with the one before, up to DEPTH; four symbols are compared at once."""
+    padded = np.append(text.astype("<u2"), np.zeros(DEPTH + 4, "<u2"))
+    four = np.ndarray((len(padded) - 3,), "<u8", padded, strides=(2,))
+    out = np.zeros(len(seeds), np.int64)
     left = np.arange(1, len(seeds))
-    i = 0
-    padded = np.append(text, np.full(DEPTH, -1, np.int32)).astype(np.int32)
-    while len(left) and i < DEPTH:
-        left = left[padded[seeds[left] + i] == padded[seeds[left - 1] + i]]
-        out[left] += 1
-        i += 1
-    return out
+    for i in range(0, DEPTH, 4):
+        differ = four[seeds[left] + i] ^ four[seeds[left - 1] + i]
+        other = np.flatnonzero(differ)
+        lowest = differ[other] & (~differ[other] + np.uint64(1))
+        out[left[other]] = i + (np.frexp(lowest.astype(np.float64))[1] - 1) // 16
+        left = left[differ == 0]
+    out[left] = DEPTH
+    # past the end zeros stand for what isn't there
+    out[1:] = np.minimum(out[1:], len(text) - np.maximum(seeds[1:], seeds[:-1]))
+    return np.minimum(out, DEPTH).astype(np.uint8)

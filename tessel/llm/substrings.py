@@ -186,19 +186,26 @@ def resolved(shard: pa.Table) -> pa.Table:
     ends = np.cumsum(sizes + 1) - 1
     data[ends] = 0  # below every byte
     place, common = suffixes(data)
-    owner = np.searchsorted(ends, place)
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)[place]
     whole = place + SIZE <= ends[owner]
     group = np.cumsum(common < SIZE)
     least = np.full(group[-1] + 1, LAST)
     np.minimum.at(least, group[whole], low[owner[whole]])
     first = np.full(len(data), LAST)
     first[place[whole]] = least[group[whole]]
-    rows: list[tuple[int, bytes, bytes]] = []
-    for i, batch, high in zip(index.tolist(), shard.column("batch").to_pylist(), shard.column("high").to_pylist(), strict=True):
-        mine = first[ends[i] - sizes[i] : ends[i] - SIZE + 1]
-        if (mine < high).any():
-            rows.append((batch, key_of(distinct[i]), mine[: 1 if (mine == mine[0]).all() else None].tobytes()))
-    return pa.table([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["batch", "key", "firsts"])
+    begun = np.full(len(data), -1)
+    begun[place[whole]] = first[place[whole]]
+    begins = ends - sizes
+    lowest = np.minimum.reduceat(first, begins)
+    highest = np.maximum.reduceat(begun, begins)
+    batch, high = shard.column("batch").to_numpy(), shard.column("high").to_numpy()
+    losing = np.flatnonzero(lowest[index] < high)
+    told: dict[int, tuple[int, bytes]] = {}
+    for i in np.unique(index[losing]).tolist():
+        same = lowest[i] == highest[i]
+        told[i] = key_of(distinct[i]), (first[begins[i] : begins[i] + 1] if same else first[begins[i] : ends[i] - SIZE + 1]).tobytes()
+    found = [told[i] for i in index[losing].tolist()]
+    return pa.table([pa.array(batch[losing]), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["batch", "key", "firsts"])
 
 
 def key_of(context: bytes) -> int:
