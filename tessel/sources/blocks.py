@@ -10,6 +10,7 @@ import numpy as np
 from tessel.errors import RasterError
 from tessel.plans.pixels import Window
 from tessel.sources.codecs import Decoder, get_decoder, unpacked, unpredicted
+from tessel.sources.jpeg import spliced
 from tessel.sources.tiff import Directory, Fetch
 
 
@@ -64,7 +65,10 @@ def decoded(image: Directory, fetch: Fetch, bx: int, by: int, sample: int, regis
         if nodata is not None:
             empty = [np.full(a.shape, nodata if a.dtype.kind == "f" else int(nodata) if np.isfinite(nodata) else 0).astype(a.dtype) for a in empty]
         return Block(*where, empty)
-    data = get_decoder(image.compression, registry)(fetch(offset, count))
+    data = fetch(offset, count)
+    if image.compression == 7:
+        data = spliced(data, bytes(image.numbers("JPEGTables") or b""))
+    data = get_decoder(image.compression, registry)(data)
     data, order = unpredicted(data, image.predictor, w, h, bits, len(held), image.order)
     return Block(*where, unpacked(data, w, h, bits, formats, order))
 

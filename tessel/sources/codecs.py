@@ -153,6 +153,12 @@ def old_jpeg(data: bytes) -> bytes:
     raise RasterError("old style JPEG compression is not supported.")
 
 
+def jpeg(data: bytes) -> bytes:
+    from tessel.sources.jpeg import decode
+
+    return decode(data)
+
+
 def absent(name: str) -> Decoder:
     def decode(data: bytes) -> bytes:
         raise RasterError(f"no decoder for {name}: add_decoder() takes one")
@@ -162,7 +168,7 @@ def absent(name: str) -> Decoder:
 
 def default_registry() -> dict[int, Decoder]:
     """Decoders by compression; those of formats without a library here say so, and can be replaced."""
-    return {1: bytes, 5: lzw, 6: old_jpeg, 7: absent("JPEG"), 8: deflate, 32946: deflate, 32773: packbits, 34712: absent("JPEG 2000"), 34887: absent("LERC"), 50000: zstd, 50001: absent("WebP")}
+    return {1: bytes, 5: lzw, 6: old_jpeg, 7: jpeg, 8: deflate, 32946: deflate, 32773: packbits, 34712: absent("JPEG 2000"), 34887: absent("LERC"), 50000: zstd, 50001: absent("WebP")}
 
 
 ENCODERS: dict[int, Decoder] = {1: bytes, 5: lzw_encoded, 8: zlib.compress, 32946: zlib.compress, 32773: packbits_encoded, 50000: zstd_encoded}
