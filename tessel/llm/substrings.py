@@ -213,23 +213,26 @@ def key_of(context: bytes) -> int:
     return xxhash.xxh3_64_intdigest(context) - (1 << 63)
 
 
-def marked(data: bytes, doc: int, firsts: dict[int, np.ndarray]) -> np.ndarray:
+def marked(data: bytes, doc: int, firsts: dict[int, np.ndarray | int]) -> np.ndarray:
     """Which bytes go."""
-    change = np.zeros(len(data) + 1, np.int64)
+    edges: list[int] = []  # begin and end of stretches by turns
     if firsts:
         begin, n, _ = contexts(data)
         for a, k in zip(begin.tolist(), n.tolist(), strict=True):
             found = firsts.get(key_of(data[a : a + k + SIZE - 1]))
-            if found is not None:
-                hit = np.flatnonzero(np.broadcast_to(found, k) < doc)
-                np.add.at(change, hit + a, 1)
-                np.add.at(change, hit + a + SIZE, -1)
+            if isinstance(found, int):
+                if found < doc:
+                    edges += (a, a + k + SIZE - 1)
+            elif found is not None:
+                for i in np.flatnonzero(found < doc).tolist():
+                    edges += (a + i, a + i + SIZE)
+    change = np.bincount(edges[0::2], minlength=len(data) + 1) - np.bincount(edges[1::2], minlength=len(data) + 1) if edges else np.zeros(len(data) + 1, np.int64)
     return np.cumsum(change)[:-1] > 0
 
 
 def cleaned(docs: pa.Table, found: pa.Table) -> pa.Table:
     """docs: packed(); found: resolved(). Per document: doc_id, n_bytes, n_removed, n_spans, kept."""
-    firsts = {k: np.frombuffer(f, np.int64) for k, f in zip(found.column("key").to_pylist(), found.column("firsts").to_pylist(), strict=True)}
+    firsts = {k: int.from_bytes(f, "little", signed=True) if len(f) == 8 else np.frombuffer(f, np.int64) for k, f in zip(found.column("key").to_pylist(), found.column("firsts").to_pylist(), strict=True)}
     out: list[list] = [[], [], [], []]
     for doc, data in texts(docs):
         gone = marked(data, number(doc), firsts)
