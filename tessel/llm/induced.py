@@ -90,23 +90,30 @@ class Least:
 class Scan:
     """What scanned items induce, with common values."""
 
-    def __init__(self, text: np.ndarray, wanted: np.ndarray, queues: Queues):
-        self.text, self.wanted, self.queues = text, wanted, queues
+    def __init__(self, text: np.ndarray, wanted: np.ndarray, queues: Queues, carry: bool):
+        self.queues, self.carry = queues, carry
+        # of each place whether the suffix before it is wanted, and its symbol
+        self.hits, self.symbols = np.append(False, wanted[:-1]), np.append(text[:1], text[:-1])
         self.since = np.full(int(text.max(initial=0)) + 1, 255, np.uint8)
         self.fresh = np.ones(len(self.since), bool)
 
     def feed(self, place: np.ndarray, common: np.ndarray) -> None:
         """Items in their order, common being with the one scanned before."""
-        before = place - 1
-        hit = np.flatnonzero((place > 0) & self.wanted[before])
-        symbols = self.text[before[hit]]
+        hit = np.flatnonzero(self.hits[place])
         if not len(hit):
             np.minimum(self.since, common.min(), out=self.since)
             return
+        symbols = self.symbols[place[hit]]
         order = np.argsort(symbols, kind="stable")
         hit, symbols = hit[order], symbols[order]
-        least = Least(common)
         first = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+        places = place[hit] - 1
+        if not self.carry:
+            nothing = np.zeros(len(hit), np.uint8)
+            for s, a, b in zip(symbols[first].tolist(), first.tolist(), [*first[1:].tolist(), len(hit)], strict=True):
+                self.queues.push(s, places[a:b], nothing[a:b])
+            return
+        least = Least(common)
         begin = np.append(0, hit[:-1] + 1)
         begin[first] = 0
         shared = least(np.minimum(begin, hit), hit)
@@ -120,7 +127,6 @@ class Scan:
         end = len(common) - 1
         self.since[kinds] = np.where(tail <= end, least(np.minimum(tail, end), np.full(len(tail), end)), 255)
         self.fresh[kinds] = False
-        places = before[hit]
         for s, a, b in zip(kinds.tolist(), first.tolist(), (last + 1).tolist(), strict=True):
             self.queues.push(s, places[a:b], value[a:b])
 
@@ -140,12 +146,12 @@ def types(text: np.ndarray) -> np.ndarray:
     return np.repeat(rising, np.diff(np.append(np.append(-1, changes), n - 1)))
 
 
-def induced(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, common: np.ndarray, held: int = HELD) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes in descending order, each with what it has in common with the one before it. seeds: LMS places, ascending; common: with the seed before."""
+def induced(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, common: np.ndarray, held: int = HELD, carry: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in descending order, each with what it has in common with the one before it (without carry: with no such values). seeds: LMS places, ascending; common: with the seed before."""
     top = int(text.max())
     groups = np.searchsorted(text[seeds], np.arange(top + 2).astype(text.dtype))
     queues = Queues(held)
-    scan = Scan(text, ~small, queues)
+    scan = Scan(text, ~small, queues, carry)
     large: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for c in range(top + 1):
         last = None
@@ -163,7 +169,7 @@ def induced(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, common: np.n
             shared[0] = 0 if last is None else common_of(text, last, int(seeds[a]))
             scan.feed(seeds[a:b], shared)
     queues = Queues(held)
-    scan = Scan(text, small, queues)
+    scan = Scan(text, small, queues, carry)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     tail = np.array([len(text) - 1])
     for c in range(top, -1, -1):
@@ -198,7 +204,7 @@ def induced(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, common: np.n
 
 def suffixes(text: np.ndarray, held: int = HELD) -> tuple[np.ndarray, np.ndarray]:
     """text: integers below 2^16, its end a symbol less than all others. All suffixes in descending order of DEPTH symbols or more, each with what it has in common with the one before it, up to DEPTH."""
-    text = text.astype(np.uint16)  # sorted by radix, and small in caches
+    text = text.astype(np.uint8 if text.max(initial=0) < 256 else np.uint16)  # sorted by radix, and small in caches
     n = len(text)
     small = types(text)
     lms = np.flatnonzero(small & np.append(False, ~small[:-1]))
@@ -206,55 +212,75 @@ def suffixes(text: np.ndarray, held: int = HELD) -> tuple[np.ndarray, np.ndarray
         return induced(text, small, np.zeros(0, np.int64), np.zeros(0, np.uint8), held)
     # first induction: from LMS places that only their symbols sort
     rough = lms[np.argsort(text[lms], kind="stable")]
-    place, _ = induced(text, small, rough, np.zeros(len(rough), np.uint8), held)
+    place, _ = induced(text, small, rough, np.zeros(len(rough), np.uint8), held, carry=False)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     by_substring = place[is_lms[place]][::-1]
     index = np.zeros(n, np.int64)
     index[lms] = np.arange(len(lms))
+    order = index[by_substring]
+    # the string of names, by doubling: a name is the place of the first of its equals; only what has equals is sorted on
+    places = np.arange(len(lms))
+    new = changed(text, lms, order) == 1
     names = np.empty(len(lms), np.int64)
-    names[index[by_substring]] = np.cumsum(changed(text, lms, index[by_substring]))
-    # the string of names, by doubling
+    names[order] = np.maximum.accumulate(np.where(new, places, 0))
+    new[0] = True
+    left = np.flatnonzero(~(new & np.append(new[1:], True)))
     covered = 2
-    while names.max() < len(names) - 1 and covered < 2 * DEPTH:
+    while len(left) and covered < DEPTH:
         step = covered // 2
-        follow = np.append(names[step:] + 1, np.zeros(min(step, len(names)), np.int64))[: len(names)]
-        both = names * (len(names) + 2) + follow
-        names = np.unique(both, return_inverse=True)[1]
+        items = order[left]
+        follow = np.where(items + step < len(lms), names[np.minimum(items + step, len(lms) - 1)] + 1, 0)
+        both = names[items] * (len(lms) + 2) + follow
+        by = np.argsort(both)
+        items, both = items[by], both[by]
+        order[left] = items
+        new = np.append(True, both[1:] != both[:-1])
+        names[items] = np.maximum.accumulate(np.where(new, left, 0))
+        left = left[~(new & np.append(new[1:], True))]
         covered *= 2
-    seeds = lms[np.argsort(names, kind="stable")]
+    seeds = lms[order]
     return induced(text, small, seeds, neighbours_common(text, seeds), held)
 
 
+def words(text: np.ndarray) -> tuple[np.ndarray, int]:
+    """The eight bytes from each place on, with zeros past the end, and how many symbols these are."""
+    padded = np.append(text, np.zeros(DEPTH + 8, text.dtype))
+    many = 8 // text.itemsize
+    return np.ndarray((len(padded) - many + 1,), "<u8", padded.astype(text.dtype.newbyteorder("<")), strides=(text.itemsize,)), many
+
+
 def changed(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     """1 where an LMS substring differs from the one before it in order, else 0 (the first: 0)."""
     stop = np.append(lms[1:], len(text) - 1)
     size = (stop - lms + 1)[order]
     begin = lms[order]
+    word, many = words(text)
+    # of a word the first symbols, as many as are left
+    masks = np.array([(1 << 8 * text.itemsize * k) - 1 for k in range(many + 1)], np.uint64)
     out = np.zeros(len(order), np.int64)
     out[1:] = size[1:] != size[:-1]
     left = np.flatnonzero(out[1:] == 0) + 1
     i = 0
     while len(left):
-        left = left[size[left] > i]
-        differ = text[begin[left] + i] != text[begin[left - 1] + i]
+        differ = ((word[begin[left] + i] ^ word[begin[left - 1] + i]) & masks[np.minimum(size[left] - i, many)]) != 0
         out[left[differ]] = 1
+        i += many
         left = left[~differ]
-        i += 1
+        left = left[size[left] > i]
     return out
 
 
 def neighbours_common(text: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """What each suffix of seeds has in common with the one before, up to DEPTH; four symbols are compared at once."""
-    padded = np.append(text.astype("<u2"), np.zeros(DEPTH + 4, "<u2"))
-    four = np.ndarray((len(padded) - 3,), "<u8", padded, strides=(2,))
+    """What each suffix of seeds has in common with the one before, up to DEPTH; eight bytes are compared at once."""
+    word, many = words(text)
     out = np.zeros(len(seeds), np.int64)
     left = np.arange(1, len(seeds))
-    for i in range(0, DEPTH, 4):
-        differ = four[seeds[left] + i] ^ four[seeds[left - 1] + i]
+    for i in range(0, DEPTH, many):
+        differ = word[seeds[left] + i] ^ word[seeds[left - 1] + i]
         other = np.flatnonzero(differ)
         lowest = differ[other] & (~differ[other] + np.uint64(1))
-        out[left[other]] = i + (np.frexp(lowest.astype(np.float64))[1] - 1) // 16
+        out[left[other]] = i + (np.frexp(lowest.astype(np.float64))[1] - 1) // (8 * text.itemsize)
         left = left[differ == 0]
     out[left] = DEPTH
     # past the end zeros stand for what isn't there

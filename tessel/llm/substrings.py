@@ -49,6 +49,8 @@ SPAN = SIZE - GRAM
 BATCH = 10
 #: Documents for each shard of contexts.
 SHARD = 1500
+#: Bytes of contexts that a batch gathers before it collapses equal ones.
+TOGETHER = 1 << 25
 #: Bytes of a document whose anchors are found at once.
 PIECE = 1 << 22
 LAST = (1 << 63) - 1
@@ -157,21 +159,42 @@ def texts(docs: pa.Table) -> Iterator[tuple[int | None, bytes]]:
         yield doc, press.decompress(data.as_py())
 
 
+def collapsed(context: pa.Array, h: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Each distinct context once, with its least low and greatest high."""
+    coded = context.dictionary_encode()
+    index, n = coded.indices.to_numpy(), len(coded.dictionary)
+    anchor, least, most = np.zeros(n, np.int64), np.full(n, LAST), np.full(n, -LAST - 1)
+    anchor[index] = h
+    np.minimum.at(least, index, low)
+    np.maximum.at(most, index, high)
+    return coded.dictionary, anchor, least, most
+
+
+def joined(parts: list[tuple]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    return collapsed(pa.concat_arrays([p[0] for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)))
+
+
 def gathered(docs: pa.Table, wanted: pa.Table, shards: int) -> pa.Table:
     """docs: packed(), of one batch; wanted: its shared anchors. Each distinct context once: shard, batch, context, low, high (the least and greatest doc_id)."""
     known = np.unique(wanted.column("h").to_numpy())
-    found: dict[bytes, list[int]] = {}
-    for doc, data in texts(docs):
-        doc = number(doc)
+    none = np.zeros(0, np.int64)
+    parts: list[tuple] = [(pa.array([], pa.binary()), none, none, none)]
+    size = 0
+    for doc, data in texts(docs) if len(known) else ():
         first, n, h = contexts(data)
-        at = np.searchsorted(known, h) if len(known) else np.zeros(0, np.int64)
-        hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == h) if len(known) else at
-        for a, k, x in zip(first[hit].tolist(), n[hit].tolist(), h[hit].tolist(), strict=True):
-            seen = found.setdefault(data[a : a + k + SIZE - 1], [x, doc, doc])
-            seen[1], seen[2] = min(seen[1], doc), max(seen[2], doc)
+        hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+        found = [data[a:b] for a, b in zip(first[hit].tolist(), (first[hit] + n[hit] + SIZE - 1).tolist(), strict=True)]
+        same = np.full(len(hit), number(doc))
+        parts.append((pa.array(found, pa.binary()), h[hit], same, same))
+        size += parts[-1][0].nbytes
+        if size > TOGETHER:
+            parts = [joined(parts)]
+            size = 0
+    context, h, low, high = joined(parts)
+    order = np.argsort(h, kind="stable")  # contexts of one anchor are alike, and compress well side by side
     batch = docs.column("batch")[0].as_py() if docs.num_rows else 0
-    columns = [[v[0] % shards for v in found.values()], [batch] * len(found), list(found), [v[1] for v in found.values()], [v[2] for v in found.values()]]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["shard", "batch", "context", "low", "high"])
+    columns = [pa.array(h[order] % shards), pa.array(np.full(len(h), batch, np.int64)), context.take(pa.array(order)), pa.array(low[order]), pa.array(high[order])]
+    return pa.table(columns, names=["shard", "batch", "context", "low", "high"])
 
 
 def resolved(shard: pa.Table) -> pa.Table:
@@ -181,20 +204,23 @@ def resolved(shard: pa.Table) -> pa.Table:
     index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     low = np.full(len(distinct), LAST)
     np.minimum.at(low, index, shard.column("low").to_numpy())
-    data = np.frombuffer(b"\0".join(distinct) + b"\0", np.uint8).astype(np.int32) + 1
+    data = np.frombuffer(b"\0".join(distinct) + b"\0", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
     sizes = np.array([len(t) for t in distinct])
     ends = np.cumsum(sizes + 1) - 1
     data[ends] = 0  # below every byte
     place, common = suffixes(data)
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)[place]
-    whole = place + SIZE <= ends[owner]
+    starts = np.ones(len(data), bool)  # where SIZE bytes stand
+    for i in range(SIZE):
+        starts[ends - i] = False
     group = np.cumsum(common < SIZE)
-    least = np.full(group[-1] + 1, LAST)
-    np.minimum.at(least, group[whole], low[owner[whole]])
+    whole = np.flatnonzero(starts[place])
+    place, group = place[whole], group[whole]
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    least = np.repeat(np.minimum.reduceat(np.repeat(low, sizes + 1)[place], begin), np.diff(np.append(begin, len(group))))
     first = np.full(len(data), LAST)
-    first[place[whole]] = least[group[whole]]
+    first[place] = least
     begun = np.full(len(data), -1)
-    begun[place[whole]] = first[place[whole]]
+    begun[place] = least
     begins = ends - sizes
     lowest = np.minimum.reduceat(first, begins)
     highest = np.maximum.reduceat(begun, begins)
