@@ -30,12 +30,11 @@ Further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +51,7 @@ SHARD = 1500
 #: Bytes of contexts that a batch gathers before it collapses equal ones.
 TOGETHER = 1 << 25
 #: Bytes of a document whose anchors are found at once.
-PIECE = 1 << 22
+PIECE = 1 << 20
 LAST = (1 << 63) - 1
 P = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)]
 
@@ -67,7 +66,8 @@ def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def piece(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(data: bytes) -> np.ndarray:
+    """A hash of each GRAM-byte string."""
     n = len(data) - GRAM + 1
     eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     with np.errstate(over="ignore"):
@@ -77,7 +77,35 @@ def piece(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h *= P[2]
         h ^= h >> np.uint64(32)
         h *= P[0]
-    low = (h & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64)
+    return h
+
+
+@cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Of an odd number and of its inverse."""
+    n = PIECE + 2 * SIZE
+    return np.cumprod(np.full(n, P[1])), np.cumprod(np.full(n, np.uint64(pow(int(P[1]), -1, 1 << 64))))
+
+
+def keys(data: bytes, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64 bits for each context (ascending places, numbers of strings) that tell those of one batch apart: the sum of its strings' hashes, each times a power by its place in the context."""
+    up, down = powers()
+    out = np.empty(len(first), np.int64)
+    i = 0
+    while i < len(first):
+        a = int(first[i])
+        j = int(np.searchsorted(first, a + PIECE, "right"))
+        h = grams(data[a : int(first[j - 1] + n[j - 1]) + SIZE - 1])
+        sums = np.append(np.uint64(0), np.cumsum(h * up[: len(h)]))
+        at = first[i:j] - a
+        out[i:j] = ((sums[at + n[i:j] + SPAN] - sums[at]) * down[at]).view(np.int64)
+        i = j
+    return out
+
+
+def piece(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h = grams(data)
+    low = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
     # the least of SPAN + 1 in a row, from those of 2, 4, ... in a row
     width = 1
     while 2 * width <= SPAN + 1:
@@ -95,7 +123,7 @@ def number(doc) -> int:
 
 
 def anchored(rows: DataFrame) -> DataFrame:
-    """rows: batch, doc_id, text. Once for each batch: h, batch, several (whether several documents of the batch have it)."""
+    """rows: batch, doc_id, text. Once for each batch: h, at (twice the batch, and one more if several documents of the batch have it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,31 +140,33 @@ def anchored(rows: DataFrame) -> DataFrame:
                 h, d = h[order], d[order]
                 first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
                 last = np.append(first[1:], len(h)) - 1 if len(h) else first
-                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(np.full(len(first), ids[begin])), pa.array(d[first] != d[last])], names=["h", "batch", "several"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(2 * ids[begin] + (d[first] != d[last]))], names=["h", "at"])
 
-    return rows.mapInArrow(run, "h long, batch long, several boolean")
+    return rows.mapInArrow(run, "h long, at long")
 
 
 def shared(anchors: DataFrame) -> DataFrame:
-    """Of anchors in several documents: batch, h. Equal ones stand in a row, so a pass over each partition finds them."""
+    """Of anchors in several documents: batch, part (32 bits of h: one mistaken for another is a context too many, no more). Equal ones stand in a row, so a pass over each partition finds them."""
+
+    def told(h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at >> 1), pa.array(h.astype(np.int32))], names=["batch", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_h, held_b, held_flag = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        held_h, held_at = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
             h = np.concatenate([held_h, b.column(0).to_numpy()])
-            batch = np.concatenate([held_b, b.column(1).to_numpy()])
-            flag = np.concatenate([held_flag, b.column(2).to_numpy(zero_copy_only=False)])
-            same = h[1:] == h[:-1]
-            flag[1:] |= same
-            flag[:-1] |= same
+            at = np.concatenate([held_at, b.column(1).to_numpy()])
+            same = (h[1:] == h[:-1]).astype(np.int64)
+            at[1:] |= same
+            at[:-1] |= same
             if len(h) > 1:
-                keep = np.flatnonzero(flag[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(batch[keep]), pa.array(h[keep])], names=["batch", "h"])
-            held_h, held_b, held_flag = h[-1:], batch[-1:], flag[-1:]
-        keep = np.flatnonzero(held_flag)
-        yield pa.RecordBatch.from_arrays([pa.array(held_b[keep]), pa.array(held_h[keep])], names=["batch", "h"])
+                keep = np.flatnonzero(at[:-1] & 1)
+                yield told(h[keep], at[keep])
+            held_h, held_at = h[-1:], at[-1:]
+        keep = np.flatnonzero(held_at & 1)
+        yield told(held_h[keep], held_at[keep])
 
-    return anchors.repartition("h").sortWithinPartitions("h").mapInArrow(run, "batch long, h long")
+    return anchors.repartition("h").sortWithinPartitions("h").mapInArrow(run, "batch long, part int")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -159,6 +189,15 @@ def texts(docs: pa.Table) -> Iterator[tuple[int | None, bytes]]:
         yield doc, press.decompress(data.as_py())
 
 
+def matches(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of asked are in known (ascending), and where there."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    hit = np.flatnonzero(known[at] == asked)
+    return hit, at[hit]
+
+
 def collapsed(context: pa.Array, h: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Each distinct context once, with its least low and greatest high."""
     coded = context.dictionary_encode()
@@ -175,14 +214,14 @@ def joined(parts: list[tuple]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
 
 
 def gathered(docs: pa.Table, wanted: pa.Table, shards: int) -> pa.Table:
-    """docs: packed(), of one batch; wanted: its shared anchors. Each distinct context once: shard, batch, context, low, high (the least and greatest doc_id)."""
-    known = np.unique(wanted.column("h").to_numpy())
+    """docs: packed(), of one batch; wanted: its shared anchors. Each distinct context once: shard, batch, more, low, context (low: the least doc_id; with more added: the greatest)."""
+    known = np.unique(wanted.column("part").to_numpy())
     none = np.zeros(0, np.int64)
     parts: list[tuple] = [(pa.array([], pa.binary()), none, none, none)]
     size = 0
     for doc, data in texts(docs) if len(known) else ():
         first, n, h = contexts(data)
-        hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+        hit = matches(known, h.astype(np.int32))[0]
         found = [data[a:b] for a, b in zip(first[hit].tolist(), (first[hit] + n[hit] + SIZE - 1).tolist(), strict=True)]
         same = np.full(len(hit), number(doc))
         parts.append((pa.array(found, pa.binary()), h[hit], same, same))
@@ -191,10 +230,10 @@ def gathered(docs: pa.Table, wanted: pa.Table, shards: int) -> pa.Table:
             parts = [joined(parts)]
             size = 0
     context, h, low, high = joined(parts)
-    order = np.argsort(h, kind="stable")  # contexts of one anchor are alike, and compress well side by side
+    order = np.lexsort((h, h % shards))  # rows of one shard, and contexts of one anchor, compress well side by side
     batch = docs.column("batch")[0].as_py() if docs.num_rows else 0
-    columns = [pa.array(h[order] % shards), pa.array(np.full(len(h), batch, np.int64)), context.take(pa.array(order)), pa.array(low[order]), pa.array(high[order])]
-    return pa.table(columns, names=["shard", "batch", "context", "low", "high"])
+    columns = [pa.array(h[order] % shards), pa.array(np.full(len(h), batch, np.int64)), pa.array(high[order] - low[order]), pa.array(low[order]), context.take(pa.array(order))]
+    return pa.table(columns, names=["shard", "batch", "more", "low", "context"])
 
 
 def resolved(shard: pa.Table) -> pa.Table:
@@ -204,7 +243,8 @@ def resolved(shard: pa.Table) -> pa.Table:
     index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     low = np.full(len(distinct), LAST)
     np.minimum.at(low, index, shard.column("low").to_numpy())
-    data = np.frombuffer(b"\0".join(distinct) + b"\0", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
+    text = b"\0".join(distinct) + b"\0"
+    data = np.frombuffer(text, np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
     sizes = np.array([len(t) for t in distinct])
     ends = np.cumsum(sizes + 1) - 1
     data[ends] = 0  # below every byte
@@ -224,44 +264,41 @@ def resolved(shard: pa.Table) -> pa.Table:
     begins = ends - sizes
     lowest = np.minimum.reduceat(first, begins)
     highest = np.maximum.reduceat(begun, begins)
-    batch, high = shard.column("batch").to_numpy(), shard.column("high").to_numpy()
+    batch, high = shard.column("batch").to_numpy(), shard.column("low").to_numpy() + shard.column("more").to_numpy()
     losing = np.flatnonzero(lowest[index] < high)
     told: dict[int, tuple[int, bytes]] = {}
-    for i in np.unique(index[losing]).tolist():
-        same = lowest[i] == highest[i]
-        told[i] = key_of(distinct[i]), (first[begins[i] : begins[i] + 1] if same else first[begins[i] : ends[i] - SIZE + 1]).tobytes()
+    some = np.unique(index[losing])
+    same = (lowest == highest).tolist()
+    for i, key in zip(some.tolist(), keys(text, begins[some], sizes[some] - SIZE + 1).tolist(), strict=True):
+        told[i] = key, (first[begins[i] : begins[i] + 1] if same[i] else first[begins[i] : ends[i] - SIZE + 1]).tobytes()
     found = [told[i] for i in index[losing].tolist()]
     return pa.table([pa.array(batch[losing]), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["batch", "key", "firsts"])
 
 
-def key_of(context: bytes) -> int:
-    """64 bits tell the contexts of one batch apart."""
-    return xxhash.xxh3_64_intdigest(context) - (1 << 63)
-
-
-def marked(data: bytes, doc: int, firsts: dict[int, np.ndarray | int]) -> np.ndarray:
-    """Which bytes go."""
-    edges: list[int] = []  # begin and end of stretches by turns
-    if firsts:
-        begin, n, _ = contexts(data)
-        for a, k in zip(begin.tolist(), n.tolist(), strict=True):
-            found = firsts.get(key_of(data[a : a + k + SIZE - 1]))
-            if isinstance(found, int):
-                if found < doc:
-                    edges += (a, a + k + SIZE - 1)
-            elif found is not None:
-                for i in np.flatnonzero(found < doc).tolist():
-                    edges += (a + i, a + i + SIZE)
-    change = np.bincount(edges[0::2], minlength=len(data) + 1) - np.bincount(edges[1::2], minlength=len(data) + 1) if edges else np.zeros(len(data) + 1, np.int64)
+def marked(data: bytes, doc: int, known: np.ndarray, firsts: np.ndarray, each: dict[int, np.ndarray]) -> np.ndarray:
+    """Which bytes go. known: keys of contexts, ascending; firsts: their strings' first document; each: by place in known, the strings' own where they differ."""
+    begin, n, _ = contexts(data)
+    hit, at = matches(known, keys(data, begin, n))
+    begin, n = begin[hit], n[hit]
+    all_gone = firsts[at] < doc
+    edges = [(begin[all_gone], (begin + n + SIZE - 1)[all_gone])]
+    for a, k in zip(begin.tolist(), at.tolist(), strict=True):
+        if k in each:
+            gone = np.flatnonzero(each[k] < doc) + a
+            edges.append((gone, gone + SIZE))
+    change = np.bincount(np.concatenate([a for a, _ in edges]), minlength=len(data) + 1) - np.bincount(np.concatenate([b for _, b in edges]), minlength=len(data) + 1)
     return np.cumsum(change)[:-1] > 0
 
 
 def cleaned(docs: pa.Table, found: pa.Table) -> pa.Table:
     """docs: packed(); found: resolved(). Per document: doc_id, n_bytes, n_removed, n_spans, kept."""
-    firsts = {k: int.from_bytes(f, "little", signed=True) if len(f) == 8 else np.frombuffer(f, np.int64) for k, f in zip(found.column("key").to_pylist(), found.column("firsts").to_pylist(), strict=True)}
+    known, one = np.unique(found.column("key").to_numpy(), return_index=True)
+    answers = found.column("firsts").take(pa.array(one)).to_pylist()
+    each = {i: np.frombuffer(f, np.int64) for i, f in enumerate(answers) if len(f) > 8}
+    firsts = np.array([LAST if len(f) > 8 else int.from_bytes(f, "little", signed=True) for f in answers], np.int64)
     out: list[list] = [[], [], [], []]
     for doc, data in texts(docs):
-        gone = marked(data, number(doc), firsts)
+        gone = marked(data, number(doc), known, firsts, each)
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
         for o, x in zip(out, (len(data), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)), kept), strict=True):
             o.append(x)
@@ -277,7 +314,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = packed(rows)
     shards = 1 + docs.count() // SHARD
     gather = partial(gathered, shards=shards)
-    each = rows.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(lambda a, b: gather(a, b), "shard long, batch long, context binary, low long, high long")
+    each = rows.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(lambda a, b: gather(a, b), "shard long, batch long, more long, low long, context binary")
     found = each.groupBy("shard").applyInArrow(resolved, "batch long, key long, firsts binary")
     return rows.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(cleaned, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
