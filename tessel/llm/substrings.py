@@ -53,6 +53,7 @@ TOGETHER = 1 << 25
 #: Bytes of a document whose anchors are found at once.
 PIECE = 1 << 20
 LAST = (1 << 63) - 1
+SHORT = (1 << 48) - 1
 P = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)]
 
 
@@ -123,7 +124,7 @@ def number(doc) -> int:
 
 
 def anchored(rows: DataFrame) -> DataFrame:
-    """rows: batch, doc_id, text. Once for each batch: h, at (twice the batch, and one more if several documents of the batch have it)."""
+    """rows: batch, doc_id, text. Once for each batch: h (48 bits of it: one anchor mistaken for another is a context too many, no more), at (twice the batch, and one more if several documents of the batch have it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,13 +141,13 @@ def anchored(rows: DataFrame) -> DataFrame:
                 h, d = h[order], d[order]
                 first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
                 last = np.append(first[1:], len(h)) - 1 if len(h) else first
-                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(2 * ids[begin] + (d[first] != d[last]))], names=["h", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[first] & SHORT), pa.array(2 * ids[begin] + (d[first] != d[last]))], names=["h", "at"])
 
     return rows.mapInArrow(run, "h long, at long")
 
 
 def shared(anchors: DataFrame) -> DataFrame:
-    """Of anchors in several documents: batch, part (32 bits of h: one mistaken for another is a context too many, no more). Equal ones stand in a row, so a pass over each partition finds them."""
+    """Of anchors in several documents: batch, part (32 bits of h, which are enough within a batch). Equal ones stand in a row, so a pass over each partition finds them."""
 
     def told(h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(at >> 1), pa.array(h.astype(np.int32))], names=["batch", "part"])
