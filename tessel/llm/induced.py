@@ -13,9 +13,10 @@ bucket is worked through in generations, each at once. Queues hold HELD bytes in
 and put older items into a temporary file that goes with the task.
 
 LMS suffixes are named by their substrings up to the next LMS, which a first induction
-from unsorted ones sorts, and the string of names is sorted in turn: names have no small
-alphabet, so there doubling takes the part of induction, until names are unique or cover
-DEPTH symbols (order beyond is of no account here).
+from unsorted ones sorts (it carries no common values, as nothing would use them), and the
+string of names is sorted in turn: names have no small alphabet, so there doubling takes
+the part of induction, until names are unique or cover DEPTH symbols (order beyond is of no
+account here).
 """
 
 from __future__ import annotations
