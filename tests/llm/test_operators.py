@@ -471,3 +471,24 @@ def test_repeated_rows_lose_all_but_one(spark):
     assert sorted(str(r["doc_id"]) for r in found) == ["1", "None"]
 
 
+
+
+def test_suffixes_of_ended_texts_against_plain_sorting():
+    """Texts of SIZE symbols or more, each with an end below all symbols, as shards put them together; small alphabets and shared parts."""
+    draw = np.random.default_rng(2)
+    for _ in range(150):
+        top, parts = int(draw.choice([1, 2, 3, 20, 250, 400])), []
+        for _ in range(int(draw.integers(1, 6))):
+            part = draw.integers(1, top + 1, int(draw.integers(50, 130)))
+            if parts and draw.random() < 0.6:
+                other = parts[int(draw.integers(len(parts)))]
+                part = np.concatenate([part[: int(draw.integers(30))], other[int(draw.integers(len(other) // 2)) :], part[: int(draw.integers(30))]])
+            parts.append(part)
+        text = np.concatenate([np.append(p, 0) for p in parts])
+        place, common = induced.suffixes(text, int(draw.choice([100, 1 << 26])))
+        assert sorted(place.tolist()) == list(range(len(text)))
+        deep = [tuple(text[p : p + induced.DEPTH].tolist()) for p in place.tolist()]
+        assert deep == sorted(deep, reverse=True)
+        for a, b, c in zip(deep, deep[1:], common[1:].tolist(), strict=False):
+            if a[0] and b[0]:  # of suffixes that begin with an end nothing is asked: no string has one
+                assert c == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
