@@ -18,6 +18,8 @@ however many share the key.
 Null text counts as empty: no words, fingerprint zero, which links like any other.
 Repeated rows have one fingerprint. Rows with a null doc_id take part, and a component of
 them only has a null component_id. An empty table gives an empty result.
+
+The pipeline's stage has a rule of its own: tessel.llm.similar.
 """
 
 from __future__ import annotations
@@ -54,8 +56,8 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def hashed(texts: list[bytes], shingle: int) -> np.ndarray:
-    """texts have single spaces between words, none at the ends."""
+def shingles(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with single spaces between words, none at the ends: all bytes, where each shingle begins and its size, its text, and how many each text has."""
     data = np.frombuffer(b"\n".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
@@ -73,12 +75,18 @@ def hashed(texts: list[bytes], shingle: int) -> np.ndarray:
     owner = np.repeat(np.arange(len(texts)), n)
     k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + firsts[owner]
     last = np.minimum(k + shingle - 1, (firsts + counts)[owner] - 1)
+    return data, starts[k], ends[last] - starts[k], owner, n
+
+
+def hashed(texts: list[bytes], shingle: int) -> np.ndarray:
+    """texts have single spaces between words, none at the ends."""
+    data, places, lengths, owner, n = shingles(texts, shingle)
     out = np.zeros(len(texts), np.uint64)
     step = 1 << 15
     ones = np.zeros((len(texts), 64), np.int64)
     for a in range(0, len(owner), step):
         b = a + step
-        h = xxh64(data, starts[k[a:b]], ends[last[a:b]] - starts[k[a:b]])
+        h = xxh64(data, places[a:b], lengths[a:b])
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         mine = owner[a:b]
         edge = np.flatnonzero(np.diff(mine, prepend=mine[0] - 1))
@@ -146,11 +154,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest doc_id, a null one last, and of repeated rows the first."""
+    """One document of each group of similar texts (tessel.llm.similar) stays: that of the smallest doc_id, a null one last, and of repeated rows the first."""
     named = with_row_id(docs, "row of the table")
-    prints = checkpointed(with_fingerprint(named.select("row of the table", "doc_id", "text")).drop("text"))
-    _, group_of = grouped(prints)
+    from tessel.llm import similar  # it builds on this module
+
+    group_of = similar.groups(named)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("row of the table"))).alias("first")
-    in_print = prints.groupBy("fp").agg(first)
-    kept = in_print.join(group_of, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first")["row of the table"].alias("row of the table"))
+    kept = group_of.groupBy("component").agg(first).select(F.col("first")["row of the table"].alias("row of the table"))
     return named.join(kept, "row of the table", "left_semi").select(*docs.columns)

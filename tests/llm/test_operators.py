@@ -492,3 +492,40 @@ def test_suffixes_of_ended_texts_against_plain_sorting():
         for a, b, c in zip(deep, deep[1:], common[1:].tolist(), strict=False):
             if a[0] and b[0]:  # of suffixes that begin with an end nothing is asked: no string has one
                 assert c == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+# --- the pipeline's near duplicates ------------------------------------------------------
+
+
+def near_copies(seed, n, edits):
+    """Texts of 120 different words with a few words replaced, so that most pairs are near the threshold on either side."""
+    r = np.random.default_rng(seed)
+    base = [f"w{seed}x{i}" for i in range(120)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for at in r.integers(0, 120, edits):
+            words[at] = f"e{r.integers(1 << 30)}"
+        out.append(" ".join(words))
+    return out
+
+
+def similar_pairs(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    return [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_stage_keeps_one_of_similar_texts(spark, edits):
+    texts = [t for seed in range(8) for t in near_copies(seed, 6, edits)] + [prose(77, 40), "a b", "A  b", "a c"]
+    top = list(range(len(texts)))
+    for i, j in similar_pairs(texts):
+        top = [min(top[i], top[j]) if x in (top[i], top[j]) else x for x in top]
+    kept = sorted(r["doc_id"] for r in simhash.stage(spark, docs_of(spark, list(enumerate(texts))), "").collect())
+    assert kept == sorted(set(top))
+
+
+def test_stage_on_a_hot_group(spark):
+    """More near copies than HOT share keys; all stand close to each other."""
+    texts = near_copies(3, 150, 1)
+    assert len(simhash.stage(spark, docs_of(spark, list(enumerate(texts))), "").collect()) == 1
