@@ -1,15 +1,19 @@
 """Operator 10: substring dedup by sliding spans of sentences.
 
 A sentence ends at . ! or ? before white space, or at a line's end; one longer than
-LONG = 12 words counts as several, cut every 12 words, so that a long passage of few
-sentences still has several units. From each unit on, the span is the shortest run of
+LONG = 12 words counts as several, so that a long passage of few sentences still has
+several units. It is cut where its words say so, after each whose hash is the least of
+those up to NEAR = 3 words before and after (of equal ones the first), so that units fall
+into step whatever stands before a passage; what is still longer than 12 words is cut
+every 12 from its start. From each unit on, the span is the shortest run of
 UNITS = 3 units or more that has WORDS = 20 words or more: it follows from the units
 alone, so equal passages have equal spans wherever they stand, and no span is so short
 that unrelated texts share it by chance. Words are compared in lower case and white space
 is not compared.
 
-Every span is hashed (128 bits) and joined globally with the first place that has it, by
-doc_id (null last), row and position; every unit covered by a span that isn't first goes.
+Every span is hashed (104 bits). Spans whose first 40 bits are found once only are left
+out early, which keeps shuffles small; the others are joined globally with the first place
+that has them, by doc_id (null last), row and position; every unit covered by a span that isn't first goes.
 First places are an aggregate, combined before the shuffle, so a passage shared by a third
 of all documents is a row for each task there, and its places meet it in a join that
 Spark can split.
@@ -24,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +36,36 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import table, with_row_id
+from tessel.llm.common import checkpointed, table, with_row_id
 
-UNITS, WORDS, LONG = 3, 20, 12
+UNITS, WORDS, LONG, NEAR = 3, 20, 12, 3
+#: The part of a hash that is joined on first; with the other 64 bits it makes 104.
+SHORT = (1 << 40) - 1
 ROW = "row of the table"
 END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 WORD = re.compile(r"\S+")
 
 
-def units(text: str) -> tuple[list[int], list[str], list[int]]:
-    """Of each unit where it begins, its words joined, and how many these are."""
+def starts(found: list[str]) -> list[int]:
+    """Where the units of a long sentence of these words begin."""
+    h = list(map(crc32, map(str.encode, found)))
+    out, last, n, before = [0], 0, len(h), 1 << 32
+    for i, (x, after) in enumerate(zip(h, h[1:], strict=False), 1):
+        if before > x <= after and x <= min(h[i : i + NEAR]) and (i == 1 or x < min(h[max(0, i - 1 - NEAR) : i - 1])):
+            while i - last > LONG:
+                last += LONG
+                out.append(last)
+            last = i
+            out.append(i)
+        before = x
+    while n - last > LONG:
+        last += LONG
+        out.append(last)
+    return out
+
+
+def units(text: str, placed: bool = True) -> tuple[list[int], list[str], list[int]]:
+    """Of each unit where it begins (only if placed), its words joined, and how many these are."""
     begins, joined, counts = [], [], []
     at = 0
     for stop in [m.span() for m in END.finditer(text)] + [(len(text), len(text))]:
@@ -52,11 +77,13 @@ def units(text: str) -> tuple[list[int], list[str], list[int]]:
                 joined.append(" ".join(found))
                 counts.append(len(found))
         else:
-            places = [m.start() for m in WORD.finditer(part)]
-            for i in range(0, len(found), LONG):
-                begins.append(at + places[i] if i else at)
-                joined.append(" ".join(found[i : i + LONG]))
-                counts.append(len(found[i : i + LONG]))
+            edges = starts(found)
+            if placed:
+                places = [m.start() for m in WORD.finditer(part)]
+                begins += [at + places[i] if i else at for i in edges]
+            for i, j in zip(edges, [*edges[1:], len(found)], strict=True):
+                joined.append(" ".join(found[i:j]))
+                counts.append(j - i)
         at = stop[1]
     return begins, joined, counts
 
@@ -87,14 +114,14 @@ def spanned(docs: DataFrame) -> DataFrame:
             row, doc, text = batch.columns
             index, found = [], []
             for i in range(batch.num_rows):
-                _, joined, counts = units(text[i].as_py() or "")
+                _, joined, counts = units(text[i].as_py() or "", False)
                 mine = spans(joined, counts)
                 index += [i] * len(mine)
                 found += mine
                 if found and (len(found) > 100_000 or i == batch.num_rows - 1):
                     take = pa.array(index, pa.int64())
                     both = np.frombuffer(b"".join(f[2] for f in found), np.int64).reshape(-1, 2)
-                    arrays = [row.take(take), doc.take(take), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+                    arrays = [row.take(take), doc.take(take), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), pa.array(both[:, 0] & SHORT), pa.array(both[:, 1].copy())]
                     yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "doc_id", "unit", "n", "h1", "h2"])
                     index, found = [], []
 
@@ -104,9 +131,11 @@ def spanned(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """docs: ROW, doc_id, text. Per row that loses any unit: ROW, cuts (the spans that go, as first unit and number)."""
     every = spanned(docs)
+    again = every.groupBy("h1").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("h1")
+    met = checkpointed(every.join(again, "h1"))
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col(ROW), F.col("unit"))
-    first = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places")
-    later = every.join(first, ["h1", "h2"]).where(~((F.col(ROW) == F.col("first")[ROW]) & (F.col("unit") == F.col("first")["unit"])))
+    first = met.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places")
+    later = met.join(first, ["h1", "h2"]).where(~((F.col(ROW) == F.col("first")[ROW]) & (F.col("unit") == F.col("first")["unit"])))
     return later.groupBy(ROW).agg(F.collect_set(F.struct("unit", "n")).alias("cuts"))
 
 

@@ -529,3 +529,16 @@ def test_stage_on_a_hot_group(spark):
     """More near copies than HOT share keys; all stand close to each other."""
     texts = near_copies(3, 150, 1)
     assert len(simhash.stage(spark, docs_of(spark, list(enumerate(texts))), "").collect()) == 1
+
+
+def test_passages_in_long_sentences_fall_into_step():
+    """The same 60 words after 3 and after 5 others, all one sentence."""
+    r = np.random.default_rng(8)
+    hit = 0
+    for trial in range(50):
+        passage = " ".join(f"p{x}" for x in r.integers(0, 1 << 30, 60))
+        one, two = (" ".join(f"{side}{trial}x{i}" for i in range(n)) + " " + passage + f" {side}end" for side, n in (("a", 3), ("b", 5)))
+        got = sentences.brute([(1, one), (2, two)])
+        assert 1 not in got
+        hit += 2 in got
+    assert hit >= 48
