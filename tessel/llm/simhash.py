@@ -61,7 +61,7 @@ def shingles(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray,
     data = np.frombuffer(b"\n".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
-    gaps = np.flatnonzero(data <= 32)
+    gaps = np.flatnonzero((data == 32) | (data == 10))  # the separators written here; other control characters are parts of words
     starts = np.unique(np.concatenate([begins[sizes > 0], gaps + 1 if len(gaps) else gaps]))
     starts = starts[starts < len(data)]
     text_of = np.searchsorted(begins, starts, "right") - 1

@@ -542,3 +542,8 @@ def test_passages_in_long_sentences_fall_into_step():
         assert 1 not in got
         hit += 2 in got
     assert hit >= 48
+
+
+def test_control_characters_are_parts_of_words():
+    texts = ["a\x00b c\x1cd e\x1ff \x1b g", "one\x01 two three\x7f four", "\x00", "plain words stand here too"]
+    assert simhash.fingerprints([t.encode() for t in texts]).tolist() == [fingerprint(t) for t in texts]
