@@ -50,7 +50,7 @@ TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 HINT = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
-#: Scores of a word by where it stands (outside: on a page that marks its article, not in it), and of a tag. What is never content inside an article (inner) is neutral: it neither ends the region nor holds it together.
+#: Scores of a word by where it stands (outside: on a page that marks its article, not in it), and of a tag. What is never content inside an article, or anywhere on a page that marks none (inner), is neutral: it neither ends the region nor holds it together.
 WEIGHTS = {"word:main": 4.0, "word:body": 1.0, "word:outside": -4.0, "word:link": -1.5, "word:aside": -6.0, "tag:block": -0.6, "tag:inline": -0.2, "tag:link": -1.2, "tag:aside": -8.0, "tag:main": 0.0}
 
 
@@ -118,6 +118,8 @@ class Page:
             self.tokens.append(("tag", place, "", not inline))
         if any(kind == "word" and place == "main" and text.strip() for kind, place, text, _ in self.tokens):
             self.tokens = [(kind, "outside" if place == "body" else place, text, breaks) for kind, place, text, breaks in self.tokens]
+        else:  # the article may go on after what stands aside, however long that is
+            self.tokens = [(kind, "inner" if place == "aside" else place, text, breaks) for kind, place, text, breaks in self.tokens]
 
     def scores(self, weights: dict[str, float]) -> list[float]:
         return [weights.get(f"{kind}:{place}", 0.0) * (len(text.split()) if kind == "word" else 1) for kind, place, text, _ in self.tokens]

@@ -547,3 +547,9 @@ def test_passages_in_long_sentences_fall_into_step():
 def test_control_characters_are_parts_of_words():
     texts = ["a\x00b c\x1cd e\x1ff \x1b g", "one\x01 two three\x7f four", "\x00", "plain words stand here too"]
     assert simhash.fingerprints([t.encode() for t in texts]).tolist() == [fingerprint(t) for t in texts]
+
+
+def test_adverts_do_not_end_an_article():
+    one, two = " ".join(f"a{i}" for i in range(150)), " ".join(f"b{i}" for i in range(150))
+    advert = '<div class="advert"><p>' + "buy " * 30 + "</p></div>"
+    assert html.extracted(f"<body><div><p>{one}</p>{advert}<p>{two}</p></div></body>") == f"{one}\n{two}"
