@@ -8,168 +8,229 @@ into step whatever stands before a passage; what is still longer than 12 words i
 every 12 from its start. From each unit on, the span is the shortest run of
 UNITS = 3 units or more that has WORDS = 20 words or more: it follows from the units
 alone, so equal passages have equal spans wherever they stand, and no span is so short
-that unrelated texts share it by chance. Words are compared in lower case and white space
-is not compared.
-
-Every span is hashed (104 bits). Spans whose first 40 bits are found once only are left
-out early, which keeps shuffles small; the others are joined globally with the first place
-that has them, by doc_id (null last), row and position; every unit covered by a span that isn't first goes.
-First places are an aggregate, combined before the shuffle, so a passage shared by a third
-of all documents is a row for each task there, and its places meet it in a join that
-Spark can split.
-
-Null and empty texts have no units. Texts with fewer words than a span have none.
-Repeated rows are places like any others, so all but the first row lose what they share.
-An empty table gives an empty result.
+that unrelated texts share it by chance. Words are runs without ASCII white space, compared
+with A-Z in lower case; white space is not compared.
+
+Every span is hashed (128 bits), and every unit covered by a span that isn't first goes;
+the first place is that of the least doc_id (null last), row and position. A batch of
+rows tells its own: its least place of each span goes on to the global join, the others are
+lost already and go on as stretches of units. So a span that a third of all documents have
+is a row for each batch there, not for each document. The global join is one shuffle by
+hash, sorted by Spark (which spills), and one pass over what stands in a row.
+
+Null and empty texts have no units. Texts with fewer words than a span have none. Very
+long texts are worked on whole, one at a time; memory is about 100 bytes a byte of the
+longest. Repeated rows are places like any others, so all but the first row lose what they
+share. Further columns, whatever their names, are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from hashlib import sha256
-from zlib import crc32
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import checkpointed, table, with_row_id
+from tessel.llm.common import table, with_row_id
 
 UNITS, WORDS, LONG, NEAR = 3, 20, 12, 3
-#: The part of a hash that is joined on first; with the other 64 bits it makes 104.
-SHORT = (1 << 40) - 1
+#: Bytes of text worked on at once.
+AT_ONCE = 1 << 17
 ROW = "row of the table"
-END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-WORD = re.compile(r"\S+")
-
-
-def starts(found: list[str]) -> list[int]:
-    """Where the units of a long sentence of these words begin."""
-    h = list(map(crc32, map(str.encode, found)))
-    out, last, n, before = [0], 0, len(h), 1 << 32
-    for i, (x, after) in enumerate(zip(h, h[1:], strict=False), 1):
-        if before > x <= after and x <= min(h[i : i + NEAR]) and (i == 1 or x < min(h[max(0, i - 1 - NEAR) : i - 1])):
-            while i - last > LONG:
-                last += LONG
-                out.append(last)
-            last = i
-            out.append(i)
-        before = x
-    while n - last > LONG:
-        last += LONG
-        out.append(last)
-    return out
-
-
-def units(text: str, placed: bool = True) -> tuple[list[int], list[str], list[int]]:
-    """Of each unit where it begins (only if placed), its words joined, and how many these are."""
-    begins, joined, counts = [], [], []
-    at = 0
-    for stop in [m.span() for m in END.finditer(text)] + [(len(text), len(text))]:
-        part = text[at : stop[0]]
-        found = part.lower().split()
-        if len(found) <= LONG:
-            if found:
-                begins.append(at)
-                joined.append(" ".join(found))
-                counts.append(len(found))
-        else:
-            edges = starts(found)
-            if placed:
-                places = [m.start() for m in WORD.finditer(part)]
-                begins += [at + places[i] if i else at for i in edges]
-            for i, j in zip(edges, [*edges[1:], len(found)], strict=True):
-                joined.append(" ".join(found[i:j]))
-                counts.append(j - i)
-        at = stop[1]
-    return begins, joined, counts
-
-
-def spans(joined: list[str], counts: list[int]) -> list[tuple[int, int, bytes]]:
-    """First unit, number of units, and hash of each span."""
+LAST = (1 << 63) - 1
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
+LOWER = np.arange(256) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90))
+#: What a byte counts for in a word's hash, odd numbers for powers and mixing, and what a unit's first word adds.
+BYTE = np.random.default_rng(10).integers(0, 1 << 63, 256).astype(np.uint64)[LOWER]
+ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
+FIRST = np.uint64(0x165667B19E3779F9)
+
+
+@cache
+def powers(odd: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2^bits powers of an odd number and of its inverse, modulo 2^64."""
     out = []
-    n, last, size = len(joined), 0, 0
-    for i in range(n):
-        while last < n and (size < WORDS or last - i < UNITS):
-            size += counts[last]
-            last += 1
-        if size < WORDS or last - i < UNITS:
-            break
-        out.append((i, last - i, xxhash.xxh3_128_digest("\n".join(joined[i:last]).encode())))
-        size -= counts[i]
-    return out
-
-
-SPANS = f"`{ROW}` long, doc_id long, unit int, n int, h1 long, h2 long"
+    for x in (odd, pow(odd, -1, 1 << 64)):
+        p = np.full(1 << bits, np.uint64(x))
+        p[0] = 1
+        out.append(np.cumprod(p))
+    return out[0], out[1]
+
+
+def sums(values: np.ndarray, odd: np.uint64, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each range of values the sum of value times odd ^ (its place in the range), modulo 2^64."""
+    up, down = powers(int(odd), len(values).bit_length())
+    total = np.append(np.uint64(0), np.cumsum(values * up[: len(values)]))
+    return (total[end] - total[begin]) * down[begin]
+
+
+def mixed(h: np.ndarray, odd: np.uint64) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * odd
+    return h ^ (h >> np.uint64(32))
+
+
+class Units:
+    """Of texts: for each unit the text it's in (text) and the byte where it begins there (at), its first word (word), and for each text its first unit (first); each with one more at the end."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        space = SPACE[data]
+        edge = np.flatnonzero(np.diff(space, prepend=True))  # by turns a word's begin and its end
+        begin, end = edge[0::2], edge[1::2]
+        n = len(begin)
+        with np.errstate(over="ignore"):
+            self.hash = mixed(sums(BYTE[data], ODD[0], begin, end), ODD[1])
+        lines = np.searchsorted(np.flatnonzero(data == 10), begin)
+        new = np.ones(n, bool)
+        new[1:] = STOP[data[end[:-1] - 1]] | (lines[1:] != lines[:-1])
+        sentence = np.cumsum(new) - 1
+        low = np.bincount(sentence, minlength=1)[sentence] > LONG
+        for k in range(1, NEAR + 1):
+            apart = sentence[k:] != sentence[:-k]
+            low[:-k] &= apart | (self.hash[:-k] <= self.hash[k:])
+            low[k:] &= apart | (self.hash[k:] < self.hash[:-k])
+        new[1:] |= low[:-1]
+        place = np.arange(n)
+        new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % LONG == 0
+        word = np.flatnonzero(new)
+        self.new = new
+        self.word = np.append(word, n)
+        self.text = np.searchsorted(begins, begin[word], "right") - 1
+        self.at = begin[word] - begins[self.text]
+        self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each span its first unit, the unit after its last, and two hashes."""
+        begin = np.arange(len(self.text))
+        end = np.maximum(np.searchsorted(self.word, self.word[:-1] + WORDS), begin + UNITS)
+        whole = np.flatnonzero(end <= self.first[self.text + 1])
+        begin, end = begin[whole], end[whole]
+        a, b = self.word[begin], self.word[end]
+        with np.errstate(over="ignore"):
+            h = self.hash + FIRST * self.new.astype(np.uint64)
+            one, two = (mixed(sums(mixed(h, y), x, a, b), z) for x, y, z in (ODD, ODD[::-1]))
+        return begin, end, one.view(np.int64), two.view(np.int64)
+
+
+def parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Where to cut texts so that each part has about AT_ONCE bytes."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= AT_ONCE or i == len(texts) - 1:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+
+
+def merged(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (of a text, units begin to end) with those that touch as one."""
+    order = np.lexsort((begin, text))
+    text, begin, end = text[order], begin[order], end[order]
+    if len(text):
+        shift = text * (int(end.max()) + 1)  # so that no stretch reaches into another text
+        reach = np.maximum.accumulate(end + shift)
+        first = np.flatnonzero(np.append(True, (begin + shift)[1:] > reach[:-1]))
+        end = np.maximum.reduceat(end, first)
+        text, begin = text[first], begin[first]
+    return text, begin, end
 
 
 def spanned(docs: DataFrame) -> DataFrame:
-    """docs: ROW, doc_id, text. One row for each span."""
+    """docs: ROW, doc_id, text. Per span and batch its least place; and (lost) stretches of units that others of the batch cover. deal: the hash that spans meet on; lost ones are dealt by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, doc, text = batch.columns
-            index, found = [], []
-            for i in range(batch.num_rows):
-                _, joined, counts = units(text[i].as_py() or "", False)
-                mine = spans(joined, counts)
-                index += [i] * len(mine)
-                found += mine
-                if found and (len(found) > 100_000 or i == batch.num_rows - 1):
-                    take = pa.array(index, pa.int64())
-                    both = np.frombuffer(b"".join(f[2] for f in found), np.int64).reshape(-1, 2)
-                    arrays = [row.take(take), doc.take(take), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), pa.array(both[:, 0] & SHORT), pa.array(both[:, 1].copy())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "doc_id", "unit", "n", "h1", "h2"])
-                    index, found = [], []
-
-    return docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SPANS)
+            texts = [(t.as_py() or "").encode() for t in batch.column(2)]
+            found: list[list[np.ndarray]] = []
+            for a, b in parts(texts):
+                units = Units(texts[a:b])
+                begin, end, one, two = units.spans()
+                mine = units.text[begin]
+                found.append([mine + a, begin - units.first[mine], end - units.first[mine], one, two])
+            if not found:
+                continue
+            text, begin, end, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+            row = batch.column(0).to_numpy()
+            doc = batch.column(1).fill_null(LAST).to_numpy()
+            rank = np.empty(len(texts), np.int64)
+            rank[np.lexsort((row, doc))] = np.arange(len(texts))
+            order = np.lexsort((begin, rank[text], two, one))
+            text, begin, end, one, two = (x[order] for x in (text, begin, end, one, two))
+            again = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1])) if len(one) else np.zeros(0, bool)
+            lost = merged(text[again], begin[again], end[again])
+            text, begin, end, one, two = (x[~again] for x in (text, begin, end, one, two))
+            order = np.argsort(text, kind="stable")  # a document's rows compress well side by side
+            text, begin, end, one, two = (x[order] for x in (text, begin, end, one, two))
+            n = len(lost[0])
+            columns = [np.append(one, mixed(row[lost[0]].astype(np.uint64), ODD[2]).view(np.int64)), np.append(np.zeros(len(one), bool), np.ones(n, bool)), np.append(two, np.zeros(n, np.int64))]
+            text, begin, end = np.append(text, lost[0]), np.append(begin, lost[1]), np.append(end, lost[2])
+            columns += [doc[text], row[text], begin.astype(np.int32), (end - begin).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["deal", "lost", "h", "doc_id", ROW, "unit", "n"])
+
+    return docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"deal long, lost boolean, h long, doc_id long, `{ROW}` long, unit int, n int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """docs: ROW, doc_id, text. Per row that loses any unit: ROW, cuts (the spans that go, as first unit and number)."""
-    every = spanned(docs)
-    again = every.groupBy("h1").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("h1")
-    met = checkpointed(every.join(again, "h1"))
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col(ROW), F.col("unit"))
-    first = met.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places")
-    later = met.join(first, ["h1", "h2"]).where(~((F.col(ROW) == F.col("first")[ROW]) & (F.col("unit") == F.col("first")["unit"])))
-    return later.groupBy(ROW).agg(F.collect_set(F.struct("unit", "n")).alias("cuts"))
-
-
-def cut(text: str, cuts: list[dict]) -> tuple[int, list[tuple[int, int]], list[int]]:
-    """How many units text has, and what goes: stretches of code points, end exclusive, and units."""
-    begins, _, _ = units(text)
-    gone = np.zeros(len(begins) + 1, np.int64)
-    for c in cuts:
-        gone[c["unit"]] += 1
-        gone[c["unit"] + c["n"]] -= 1
-    covered = np.flatnonzero(np.cumsum(gone)[:-1] > 0).tolist()
-    stretches: list[tuple[int, int]] = []
-    for u in covered:
-        a, b = begins[u], begins[u + 1] if u + 1 < len(begins) else len(text)
-        if stretches and stretches[-1][1] == a:
-            stretches[-1] = (stretches[-1][0], b)
-        else:
-            stretches.append((a, b))
-    return len(begins), stretches, covered
+    """docs: ROW, doc_id, text. Per row that loses any unit: ROW, cuts (the stretches that go, as first unit and number)."""
+    place = ["doc_id", ROW, "unit"]
+    dealt = spanned(docs).repartition("deal").sortWithinPartitions("deal", "lost", "h", *place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: tuple | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            deal, lost, h = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            again = np.append(False, (deal[1:] == deal[:-1]) & (h[1:] == h[:-1]) & ~lost[:-1])
+            again[0] = before == (deal[0], h[0])
+            before = None if lost[-1] else (deal[-1], h[-1])
+            gone = pa.array(np.flatnonzero(again | lost))
+            yield pa.RecordBatch.from_arrays([b.column(i).take(gone) for i in (4, 5, 6)], names=[ROW, "unit", "n"])
+
+    later = dealt.mapInArrow(run, f"`{ROW}` long, unit int, n int")
+    return later.groupBy(ROW).agg(F.collect_list(F.struct("unit", "n")).alias("cuts"))  # no more than a document has units
+
+
+def cut(text: bytes, cuts: list[dict]) -> tuple[int, int, list[tuple[int, int]]]:
+    """How many units text has, how many go, and the stretches of bytes that go, end exclusive."""
+    units = Units([text])
+    n = len(units.text)
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, [c["unit"] for c in cuts], 1)
+    np.add.at(change, [c["unit"] + c["n"] for c in cuts], -1)
+    gone = np.cumsum(change)[:-1] > 0
+    edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
+    at = np.append(units.at, len(text))
+    return n, int(gone.sum()), [(int(at[a]), int(at[b])) for a, b in zip(edge[0::2], edge[1::2], strict=True)]
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """Per row of docs that loses any unit: doc_id, n_sentences, n_removed, removed (begin:end, comma-joined), kept (the text left)."""
+    """Per row of docs that loses any unit: doc_id, n_sentences, n_removed, removed (begin:end in code points, comma-joined), kept (the text left)."""
     rows = with_row_id(docs.select("doc_id", "text"), ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text, cuts in zip(batch.column(1), batch.column(2), strict=True):
-                t = text.as_py() or ""
-                n, stretches, covered = cut(t, cuts.as_py())
+                t = text.as_py().encode()
+                n, gone, stretches = cut(t, cuts.as_py())
                 edges = [0, *(x for s in stretches for x in s), len(t)]
-                kept = "".join(t[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True))
-                for o, x in zip(out, (n, len(covered), ",".join(f"{a}:{b}" for a, b in stretches), kept), strict=True):
+                kept = [t[a:b].decode() for a, b in zip(edges[0::2], edges[1::2], strict=True)]
+                at = 0
+                told = []
+                for piece, (a, b) in zip(kept, stretches, strict=False):
+                    at += len(piece)
+                    size = len(t[a:b].decode())
+                    told.append(f"{at}:{at + size}")
+                    at += size
+                for o, x in zip(out, (n, gone, ",".join(told), "".join(kept)), strict=True):
                     o.append(x)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=["doc_id", "n_sentences", "n_removed", "removed", "kept"])
@@ -181,22 +242,3 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicated(table(spark, sf_dir, "documents"))
     return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
-
-
-def brute(rows: list[tuple[int, str]]) -> dict[int, tuple[int, int, str, str]]:
-    """What op10 should return for rows of doc_id and text, all of them at once, by doc_id; for tests."""
-    first: dict[bytes, tuple[int, int]] = {}
-    every = {}
-    for doc, text in sorted(rows):
-        _, joined, counts = units(text or "")
-        every[doc] = spans(joined, counts)
-        for u, _, h in every[doc]:
-            first.setdefault(h, (doc, u))
-    out = {}
-    for doc, text in rows:
-        cuts = [{"unit": u, "n": n} for u, n, h in every[doc] if first[h] != (doc, u)]
-        if cuts:
-            n, stretches, covered = cut(text, cuts)
-            kept = "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b in stretches))
-            out[doc] = (n, len(covered), ",".join(f"{a}:{b}" for a, b in stretches), sha256(kept.encode()).hexdigest())
-    return out

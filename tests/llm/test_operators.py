@@ -455,22 +455,117 @@ def test_few_neighbours(spark):
 # --- 10 sentences ------------------------------------------------------------------------
 
 
+def plain_units(text):
+    """Units as lists of words with where they begin, word by word in plain Python."""
+    whole = (1 << 64) - 1
+
+    def mix(word):
+        h = sum(int(sentences.BYTE[b]) * pow(int(sentences.ODD[0]), k, 1 << 64) for k, b in enumerate(word.encode())) & whole
+        h = (h ^ (h >> 29)) * int(sentences.ODD[1]) & whole
+        return h ^ (h >> 32)
+
+    every, sentence = [], []
+    tokens = [(m.start(), m.group()) for m in re.finditer(r"[^ \t-\r]+", text)]
+    for i, (at, word) in enumerate(tokens):
+        sentence.append((at, "".join(c.lower() if "A" <= c <= "Z" else c for c in word)))
+        after = text[at + len(word) : tokens[i + 1][0]] if i + 1 < len(tokens) else "\n"
+        if word[-1] in ".!?" or "\n" in after:
+            every.append(sentence)
+            sentence = []
+    out = []
+    for s in every:
+        h = [mix(w) for _, w in s]
+        unit = []
+        for i, word in enumerate(s):
+            least = i > 0 and len(s) > 12 and all(h[i - 1] < x for x in h[max(0, i - 4) : i - 1]) and all(h[i - 1] <= x for x in h[i : i + 3])
+            if unit and (least or len(unit) == 12):
+                out.append(unit)
+                unit = []
+            unit.append(word)
+        out.append(unit)
+    return out
+
+
+def sentences_brute(rows):
+    """Rows of doc_id and text, in the table's order. Per row that loses any unit: doc_id, units, units that go, stretches that go, what is left."""
+    first, every = {}, []
+    for doc, text in rows:
+        units, mine = plain_units(text or ""), {}
+        for i in range(len(units)):
+            for j in range(i + 3, len(units) + 1):
+                if sum(map(len, units[i:j])) >= 20:
+                    mine[i, j] = tuple(tuple(w for _, w in u) for u in units[i:j])
+                    break
+        every.append((units, mine))
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0, r))
+    for r in order:
+        for (i, _), words in sorted(every[r][1].items()):
+            first.setdefault(words, (r, i))
+    out = []
+    for r, (doc, text) in enumerate(rows):
+        units, mine = every[r]
+        gone = {u for (i, j), words in mine.items() if first[words] != (r, i) for u in range(i, j)}
+        if gone:
+            begins = [u[0][0] for u in units] + [len(text)]
+            chars = sorted(c for u in gone for c in range(begins[u], begins[u + 1]))
+            stretches = [c for c in chars if c - 1 not in set(chars)], [c + 1 for c in chars if c + 1 not in set(chars)]
+            kept = "".join(c for i, c in enumerate(text) if i not in set(chars))
+            out.append((doc, len(units), len(gone), ",".join(f"{a}:{b}" for a, b in zip(*stretches, strict=True)), kept))
+    return out
+
+
 def test_sentences(spark, empty):
     passage = prose(3, 80)
-    rows = [(i, prose(i + 10, 60) + ".\n" + passage + "\n" + prose(i + 40, 30)) for i in range(5)] + [(20, " ".join(["long"] * 70 + ["end"])), (21, "New start.\n" + " ".join(["long"] * 70 + ["end"])), (22, "A. B. C. D."), (23, "A. B. C. D."), (24, None), (25, "")]
-    found = sentences.deduplicated(crowded(docs_of(spark, rows))).collect()
-    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in found}
-    assert got == sentences.brute(rows)
-    assert {1, 2, 3, 4, 21} <= set(got) and not {0, 22, 23, 24, 25} & set(got)
+    rows = [(i, prose(i + 10, 60) + ".\n" + passage + "\n" + prose(i + 40, 30)) for i in range(5)] + [(20, " ".join(["long"] * 70 + ["end"])), (21, "New start.\n" + " ".join(["Long"] * 70 + ["end"])), (22, "A. B. C. D."), (23, "A. B. C. D."), (24, None), (25, "")]
+    rows += [(30, "ÄÖ é 漢字. 𝒳 " * 12), (31, "vor ÄÖ é 漢字. 𝒳 " + "ÄÖ é 漢字. 𝒳 " * 11 + "nach"), *EDGE, (None, passage), (None, passage)]
+    found = sentences.deduplicated(crowded(docs_of(spark, rows)).coalesce(1)).collect()
+    assert sorted(str(tuple(r)) for r in found) == sorted(map(str, sentences_brute(rows)))
+    assert {1, 2, 3, 4, 21, 31} <= {r["doc_id"] for r in found} and not {0, 22, 23, 24, 25} & {r["doc_id"] for r in found}
     assert sentences.deduplicated(empty).count() == 0
 
 
+def test_sentences_over_many_batches(spark):
+    """What a batch tells itself and what the global join tells are the same in sum, also with a passage in a third of all rows."""
+    passage = prose(3, 70)
+    rows = [(i * 7 % 90, prose(i, 30) + (". " + passage + " " if i % 3 == 0 else " ") + prose(i // 2, 40)) for i in range(90)]
+    want = sorted(map(str, sentences_brute(sorted(rows))))
+    docs = docs_of(spark, rows)
+    for parts in (1, 7):
+        found = sentences.deduplicated(docs.repartition(parts, "doc_id").sortWithinPartitions("doc_id")).collect()
+        assert sorted(str(tuple(r)) for r in found) == want
+
+
+def test_a_hot_passage_is_a_row_for_each_batch(spark):
+    text = prose(3, 100)
+    rows = spark.createDataFrame([(i, i, text) for i in range(400)], f"`{sentences.ROW}` long, doc_id long, text string").coalesce(2)
+    found = sentences.spanned(rows)
+    most = found.groupBy("deal").count().agg(F.max("count")).first()[0]
+    assert most <= found.rdd.getNumPartitions() and found.where("lost").groupBy(sentences.ROW).count().where("count > 1").count() == 0
+
+
+def test_a_very_long_text(spark):
+    text = prose(5, 150_000)
+    found = sentences.deduplicated(docs_of(spark, [(1, text), (2, "Before. " + text)])).collect()
+    assert [(r["doc_id"], r["kept"][:7]) for r in found] == [(2, "Before.")] and found[0]["n_removed"] > 0.99 * found[0]["n_sentences"]
+
+
 def test_repeated_rows_lose_all_but_one(spark):
     text = prose(3, 80)
     found = sentences.deduplicated(docs_of(spark, [(1, text), (1, text), (None, text)])).collect()
     assert sorted(str(r["doc_id"]) for r in found) == ["1", "None"]
 
 
+def test_passages_in_long_sentences_fall_into_step():
+    """The same 60 words after 3 and after 5 others, all one sentence."""
+    r = np.random.default_rng(8)
+    hit = 0
+    for trial in range(50):
+        passage = " ".join(f"p{x}" for x in r.integers(0, 1 << 30, 60))
+        one, two = (" ".join(f"{side}{trial}x{i}" for i in range(n)) + " " + passage + f" {side}end" for side, n in (("a", 3), ("b", 5)))
+        got = [r[0] for r in sentences_brute([(1, one), (2, two)])]
+        assert 1 not in got
+        hit += 2 in got
+    assert hit >= 48
 
 
 def test_suffixes_of_ended_texts_against_plain_sorting():
@@ -531,19 +626,6 @@ def test_stage_on_a_hot_group(spark):
     assert len(simhash.stage(spark, docs_of(spark, list(enumerate(texts))), "").collect()) == 1
 
 
-def test_passages_in_long_sentences_fall_into_step():
-    """The same 60 words after 3 and after 5 others, all one sentence."""
-    r = np.random.default_rng(8)
-    hit = 0
-    for trial in range(50):
-        passage = " ".join(f"p{x}" for x in r.integers(0, 1 << 30, 60))
-        one, two = (" ".join(f"{side}{trial}x{i}" for i in range(n)) + " " + passage + f" {side}end" for side, n in (("a", 3), ("b", 5)))
-        got = sentences.brute([(1, one), (2, two)])
-        assert 1 not in got
-        hit += 2 in got
-    assert hit >= 48
-
-
 def test_control_characters_are_parts_of_words():
     texts = ["a\x00b c\x1cd e\x1ff \x1b g", "one\x01 two three\x7f four", "\x00", "plain words stand here too"]
     assert simhash.fingerprints([t.encode() for t in texts]).tolist() == [fingerprint(t) for t in texts]
