@@ -9,22 +9,27 @@ documents lie:
    (of equal ones the first). Consecutive strings with the same anchor are one context of
    at most 2 * SIZE - GRAM bytes. Equal strings have equal anchors, so a string that
    starts in two documents has an anchor that both have.
-2. A first pass deals out the hashes of anchors, once for each batch of BATCH documents,
-   sorted by Spark (spilling as it must), and finds those in several documents. Anchors
-   of one document need nothing more.
+2. A first pass deals out the hashes of anchors, once for each batch of BATCH documents
+   with the number of its different contexts, sorted by Spark (spilling as it must). It
+   finds the anchors of several documents; those of one document need nothing more. And it
+   finds the hot ones, with over HOT contexts in all batches together.
 3. The contexts of the others, once for each batch, go to shards by their anchor's hash.
-   A shard sorts the suffixes of its distinct contexts and tells each batch the first
-   document of each of their strings.
+   Around a hot anchor, such as a line that many documents have amid differing text, each
+   string is a context of its own and goes by its own hash: equal strings still meet, and
+   no anchor gives a shard more than HOT contexts. A shard sorts the suffixes of its
+   distinct contexts and tells each batch the first document of each of their strings.
 4. Each batch marks its documents' bytes and writes what is left.
 
-Texts are shuffled once (by batch; both uses read the same shuffle). Batches collapse
-copies before anything is dealt out: an anchor or context that a third of all documents
-have is a row for each batch, not each document.
+Texts are shuffled once (by batch; both uses read the same shuffle); contexts and answers
+go as compressed bytes, a row for each batch and shard. Batches collapse copies before
+anything is dealt out: an anchor or context that a third of all documents have is an item
+for each batch, not each document. There is a shard for each SHARD bytes of text.
 
-Null and empty texts, and texts shorter than SIZE bytes, lose nothing. Rows of the same
-doc_id don't take from each other, as neither is smaller; a null doc_id is later than any
-other. Repeated rows get the same result each. An empty table gives an empty result.
-Further columns are ignored.
+Null and empty texts, and texts shorter than SIZE bytes, lose nothing. Very long texts are
+worked on in pieces of PIECE bytes, but marked whole, in some 40 bytes of memory a byte.
+Rows of the same doc_id don't take from each other, as neither is smaller; a null doc_id
+is later than any other. Repeated rows get the same result each. An empty table gives an
+empty result. Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -46,25 +51,38 @@ SIZE, GRAM = DEPTH, 16
 SPAN = SIZE - GRAM
 #: Documents of a batch, as a power of two.
 BATCH = 10
-#: Documents for each shard of contexts.
-SHARD = 1500
-#: Bytes of contexts that a batch gathers before it collapses equal ones.
-TOGETHER = 1 << 25
-#: Bytes of a document whose anchors are found at once.
-PIECE = 1 << 20
+#: Bytes of text for each shard of contexts.
+SHARD = 5 << 20
+#: Contexts of one anchor, summed over batches, beyond which it's hot.
+HOT = 4096
+#: Bytes of text whose anchors are found at once, and whose bytes are marked at once.
+PIECE, MARKED = 1 << 17, 1 << 20
 LAST = (1 << 63) - 1
 SHORT = (1 << 48) - 1
 P = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)]
+#: In a byte with a context's size or a number of answers: it's one string of a hot anchor.
+ALONE = 128
 
 
-def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each context the first string's place, the number of strings, and the anchor's hash."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a in range(0, max(0, len(data) - SIZE + 1), PIECE):
-        out.append(piece(data[a : a + PIECE + SIZE - 1], a))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def contexts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of each context the text it's in, the first string's place there, the number of strings, the anchor's hash, and the context's key."""
+    out = []
+    lot: list[bytes] = []
+    of: list[int] = []
+    at: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        for a in range(0, len(t) - SIZE + 1, PIECE):
+            lot.append(t[a : a + PIECE + SIZE - 1])
+            of.append(i)
+            at.append(a)
+            size += len(lot[-1])
+            if size >= PIECE:
+                out.append(lotted(lot, of, at))
+                lot, of, at, size = [], [], [], 0
+    if lot:
+        out.append(lotted(lot, of, at))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -84,28 +102,35 @@ def grams(data: bytes) -> np.ndarray:
 @cache
 def powers() -> tuple[np.ndarray, np.ndarray]:
     """Of an odd number and of its inverse."""
-    n = PIECE + 2 * SIZE
+    n = 2 * PIECE + 4 * SIZE
     return np.cumprod(np.full(n, P[1])), np.cumprod(np.full(n, np.uint64(pow(int(P[1]), -1, 1 << 64))))
 
 
+def summed(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """keys() of contexts from the hashes of their 16-byte strings."""
+    up, down = powers()
+    sums = np.append(np.uint64(0), np.cumsum(h * up[: len(h)]))
+    return ((sums[first + n + SPAN] - sums[first]) * down[first]).view(np.int64)
+
+
 def keys(data: bytes, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """64 bits for each context (ascending places, numbers of strings) that tell those of one batch apart: the sum of its strings' hashes, each times a power by its place in the context."""
-    up, down = powers()
     out = np.empty(len(first), np.int64)
     i = 0
     while i < len(first):
         a = int(first[i])
         j = int(np.searchsorted(first, a + PIECE, "right"))
-        h = grams(data[a : int(first[j - 1] + n[j - 1]) + SIZE - 1])
-        sums = np.append(np.uint64(0), np.cumsum(h * up[: len(h)]))
-        at = first[i:j] - a
-        out[i:j] = ((sums[at + n[i:j] + SPAN] - sums[at]) * down[at]).view(np.int64)
+        out[i:j] = summed(grams(data[a : int(first[j - 1] + n[j - 1]) + SIZE - 1]), first[i:j] - a, n[i:j])
         i = j
     return out
 
 
-def piece(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h = grams(data)
+def lotted(lot: list[bytes], of: list[int], at: list[int]) -> tuple[np.ndarray, ...]:
+    """contexts() of pieces of SIZE bytes or more, of texts of, that stand at at."""
+    sizes = np.array([len(p) for p in lot])
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    h = grams(b"".join(lot))
     low = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
     # the least of SPAN + 1 in a row, from those of 2, 4, ... in a row
     width = 1
@@ -115,59 +140,78 @@ def piece(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if width < SPAN + 1:
         low = np.minimum(low[: len(low) - (SPAN + 1 - width)], low[SPAN + 1 - width :])
     anchor = (low & np.uint64(0xFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-    return first + at, np.diff(np.append(first, len(anchor))), h[anchor[first]].view(np.int64)
+    new = np.append(True, anchor[1:] != anchor[:-1])
+    new[begins] = True
+    new[ends[:-1] - SIZE + 1] = True  # from here strings would reach into the next piece
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(anchor)))
+    piece = np.searchsorted(ends, first, "right")
+    whole = first <= ends[piece] - SIZE
+    first, n, piece = first[whole], n[whole], piece[whole]
+    return np.array(of)[piece], first - begins[piece] + np.array(at)[piece], n, h[anchor[first]].view(np.int64), summed(h, first, n)
+
+
+def numbers(docs: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """doc_ids as numbers, null as the last."""
+    return docs.cast(pa.int64()).fill_null(LAST).to_numpy()
 
 
-def number(doc) -> int:
-    return LAST if doc is None else doc
+def ragged(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each range, one range after the other."""
+    return np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
 
 
 def anchored(rows: DataFrame) -> DataFrame:
-    """rows: batch, doc_id, text. Once for each batch: h (48 bits of it: one anchor mistaken for another is a context too many, no more), at (twice the batch, and one more if several documents of the batch have it)."""
+    """rows: batch, doc_id, text. Once for each batch: h (48 bits of it: one anchor mistaken for another is a context too many, no more), at (from the right: a bit that says if several documents of the batch have it, 16 bits with the number of its contexts, the batch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids, docs = b.column(0).to_numpy(), numbers(b.column(1))
             edges = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])).tolist() if len(ids) else []
             for begin, end in zip(edges, [*edges[1:], len(ids)], strict=True):
-                hashes, docs = [], []
-                for i in range(begin, end):
-                    h = np.unique(contexts((b.column(2)[i].as_py() or "").encode())[2])
-                    hashes.append(h)
-                    docs.append(np.full(len(h), number(b.column(1)[i].as_py())))
-                h, d = np.concatenate(hashes), np.concatenate(docs)
-                order = np.lexsort((d, h))
-                h, d = h[order], d[order]
-                first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-                last = np.append(first[1:], len(h)) - 1 if len(h) else first
-                yield pa.RecordBatch.from_arrays([pa.array(h[first] & SHORT), pa.array(2 * ids[begin] + (d[first] != d[last]))], names=["h", "at"])
+                of, _, _, h, key = contexts([(b.column(2)[i].as_py() or "").encode() for i in range(begin, end)])
+                if not len(h):
+                    continue
+                h, doc = h & SHORT, docs[begin + of]
+                order = np.lexsort((key, h))
+                h, key, doc = h[order], key[order], doc[order]
+                new = np.append(True, h[1:] != h[:-1])
+                first = np.flatnonzero(new)
+                new[1:] |= key[1:] != key[:-1]
+                several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+                n = np.minimum(np.add.reduceat(new.astype(np.int64), first), (1 << 16) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(int(ids[begin]) << 17 | n << 1 | several)], names=["h", "at"])
 
     return rows.mapInArrow(run, "h long, at long")
 
 
 def shared(anchors: DataFrame) -> DataFrame:
-    """Of anchors in several documents: batch, part (32 bits of h, which are enough within a batch). Equal ones stand in a row, so a pass over each partition finds them."""
+    """Of anchors in several documents: batch, part (32 bits of h, which are enough within a batch), hot. Equal ones stand in a row, so a pass over each partition finds them; of one anchor no more than HOT rows are held."""
 
-    def told(h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(at >> 1), pa.array(h.astype(np.int32))], names=["batch", "part"])
+    def told(h: np.ndarray, at: np.ndarray, keep: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at[keep] >> 17), pa.array(h[keep].astype(np.int32)), pa.array(hot[keep])], names=["batch", "part", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_h, held_at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known = None  # the anchor of the last rows told, if hot
         for b in batches:
-            h = np.concatenate([held_h, b.column(0).to_numpy()])
-            at = np.concatenate([held_at, b.column(1).to_numpy()])
-            same = (h[1:] == h[:-1]).astype(np.int64)
-            at[1:] |= same
-            at[:-1] |= same
-            if len(h) > 1:
-                keep = np.flatnonzero(at[:-1] & 1)
-                yield told(h[keep], at[keep])
-            held_h, held_at = h[-1:], at[-1:]
-        keep = np.flatnonzero(held_at & 1)
-        yield told(held_h[keep], held_at[keep])
-
-    return anchors.repartition("h").sortWithinPartitions("h").mapInArrow(run, "batch long, part int")
+            h, at = np.concatenate([h, b.column(0).to_numpy()]), np.concatenate([at, b.column(1).to_numpy()])
+            if not len(h):
+                continue
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            n = np.diff(np.append(first, len(h)))
+            hot = np.add.reduceat(at >> 1 & 0xFFFF, first) > HOT
+            hot[0] |= known == h[0]
+            several = (n > 1) | (np.add.reduceat(at & 1, first) > 0) | hot
+            stop = len(h) if hot[-1] else int(first[-1])
+            known = int(h[-1]) if hot[-1] else None
+            keep = np.flatnonzero(np.repeat(several, n)[:stop])
+            yield told(h, at, keep, np.repeat(hot, n))
+            h, at = h[stop:], at[stop:]
+        several = len(h) > 1 or bool((at & 1).any())
+        yield told(h, at, np.arange(len(h) if several else 0), np.zeros(len(h), bool))
+
+    return anchors.repartition("h").sortWithinPartitions("h").mapInArrow(run, "batch long, part int, hot boolean")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -183,11 +227,19 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"batch long, row long, doc_id {kind}, data binary")
 
 
-def texts(docs: pa.Table) -> Iterator[tuple[int | None, bytes]]:
-    """docs: packed(). doc_id and text of each."""
+def lots(docs: pa.Table) -> Iterator[tuple[int, list[bytes], bytes, np.ndarray]]:
+    """docs: packed(). Some documents at a time, of about MARKED bytes: which is the first, their texts, these joined, and where each begins there."""
     press = zstandard.ZstdDecompressor()
-    for doc, data in zip(docs.column("doc_id").to_pylist(), docs.column("data"), strict=True):
-        yield doc, press.decompress(data.as_py())
+    part: list[bytes] = []
+    size = 0
+    data = docs.column("data")
+    for i in range(len(data)):
+        part.append(press.decompress(data[i].as_py()))
+        size += len(part[-1])
+        if size >= MARKED or i == len(data) - 1:
+            sizes = np.array([len(t) for t in part])
+            yield i + 1 - len(part), part, b"".join(part), np.cumsum(sizes) - sizes
+            part, size = [], 0
 
 
 def matches(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,56 +251,90 @@ def matches(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hit, at[hit]
 
 
-def collapsed(context: pa.Array, h: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Each distinct context once, with its least low and greatest high."""
-    coded = context.dictionary_encode()
-    index, n = coded.indices.to_numpy(), len(coded.dictionary)
-    anchor, least, most = np.zeros(n, np.int64), np.full(n, LAST), np.full(n, -LAST - 1)
-    anchor[index] = h
-    np.minimum.at(least, index, low)
-    np.maximum.at(most, index, high)
-    return coded.dictionary, anchor, least, most
+def pressed(*parts: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts))
+
 
+def unpressed(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays of pressed(): the first is one number, which is the length of the others but the last."""
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    out, at = [], 8
+    for kind in kinds:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += out[-1].nbytes
+    return [*out, np.frombuffer(data, np.uint8, -1, at)]
 
-def joined(parts: list[tuple]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    return collapsed(pa.concat_arrays([p[0] for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)))
+
+def alone(joined: bytes, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each string of contexts: its place and its key."""
+    place = ragged(at, n)
+    return place, keys(joined, place, np.ones(len(place), np.int64))
 
 
 def gathered(docs: pa.Table, wanted: pa.Table, shards: int) -> pa.Table:
-    """docs: packed(), of one batch; wanted: its shared anchors. Each distinct context once: shard, batch, more, low, context (low: the least doc_id; with more added: the greatest)."""
-    known = np.unique(wanted.column("part").to_numpy())
-    none = np.zeros(0, np.int64)
-    parts: list[tuple] = [(pa.array([], pa.binary()), none, none, none)]
-    size = 0
-    for doc, data in texts(docs) if len(known) else ():
-        first, n, h = contexts(data)
-        hit = matches(known, h.astype(np.int32))[0]
-        found = [data[a:b] for a, b in zip(first[hit].tolist(), (first[hit] + n[hit] + SIZE - 1).tolist(), strict=True)]
-        same = np.full(len(hit), number(doc))
-        parts.append((pa.array(found, pa.binary()), h[hit], same, same))
-        size += parts[-1][0].nbytes
-        if size > TOGETHER:
-            parts = [joined(parts)]
-            size = 0
-    context, h, low, high = joined(parts)
-    order = np.lexsort((h, h % shards))  # rows of one shard, and contexts of one anchor, compress well side by side
+    """docs: packed(), of one batch; wanted: its shared anchors. Each distinct context once: shard, batch, and (pressed) low and more (the least doc_id; with more added: the greatest), size, bytes."""
+    order = np.argsort(wanted.column("part").to_numpy())
+    known, hot = wanted.column("part").to_numpy()[order], wanted.column("hot").to_numpy()[order]
+    if len(known):  # of equal parts it's hot if any is
+        first = np.flatnonzero(np.append(True, known[1:] != known[:-1]))
+        known, hot = known[first], np.logical_or.reduceat(hot, first)
+    doc_ids = numbers(docs.column("doc_id"))
+    found: dict[int, bytes] = {}
+    parts = [(np.zeros(0, np.int64),) * 3]
+    for begin, texts, joined, base in lots(docs) if len(known) else ():
+        of, at, n, h, key = contexts(texts)
+        hit, place = matches(known, h.astype(np.int32))
+        of, at, n, h, key, single = of[hit], (base[of] + at)[hit], n[hit], h[hit], key[hit], hot[place]
+        at_one, key_one = alone(joined, at[single], n[single])
+        deal = np.append(h[~single], key_one) % shards
+        doc = doc_ids[begin + np.append(of[~single], np.repeat(of[single], n[single]))]
+        at, size, key = np.append(at[~single], at_one), np.append(n[~single] + SIZE - 1, np.full(len(at_one), SIZE)), np.append(key[~single], key_one)
+        mark = np.append(np.zeros(int((~single).sum()), np.int64), np.full(len(at_one), ALONE))
+        parts.append((key, doc, deal << 8 | mark | size))
+        for k, a, b in zip(*(x[np.unique(key, return_index=True)[1]].tolist() for x in (key, at, at + size)), strict=True):
+            if k not in found:
+                found[k] = joined[a:b]
+    key, doc, deal = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((key, deal))
+    key, doc, deal = key[order], doc[order], deal[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    low, high = (f.reduceat(doc, first) if len(first) else first for f in (np.minimum, np.maximum))
+    key, deal = key[first], deal[first]
+    shard, size = deal >> 8, (deal & 255).astype(np.uint8)
+    out: list[list] = [[], []]
+    edges = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist() if len(shard) else []
+    names = key.tolist()
+    for a, b in zip(edges, [*edges[1:], len(shard)], strict=True):
+        out[0].append(int(shard[a]))
+        out[1].append(pressed(np.array([b - a]), low[a:b], high[a:b] - low[a:b], size[a:b], b"".join([found[k] for k in names[a:b]])))
     batch = docs.column("batch")[0].as_py() if docs.num_rows else 0
-    columns = [pa.array(h[order] % shards), pa.array(np.full(len(h), batch, np.int64)), pa.array(high[order] - low[order]), pa.array(low[order]), context.take(pa.array(order))]
-    return pa.table(columns, names=["shard", "batch", "more", "low", "context"])
+    return pa.table([pa.array(out[0], pa.int64()), pa.array([batch] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary())], names=["shard", "batch", "data"])
+
+
+def binaries(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """An array of byte strings of these sizes, one after the other in data."""
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def resolved(shard: pa.Table) -> pa.Table:
-    """A shard's contexts as batches have them; to each that may lose bytes: batch, key (a hash of the context), firsts (each string's first document; one number if it's the same for all)."""
-    coded = shard.column("context").combine_chunks().dictionary_encode()
-    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    low = np.full(len(distinct), LAST)
-    np.minimum.at(low, index, shard.column("low").to_numpy())
-    text = b"\0".join(distinct) + b"\0"
-    data = np.frombuffer(text, np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
-    sizes = np.array([len(t) for t in distinct])
+    """A shard's contexts as batches have them. For each batch that may lose bytes: batch, and (pressed) of each such context the key (a hash of it), how many answers, the anchor's part if it's one string of a hot one, else 0; and the answers: each string's first document; one number if it's the same for all."""
+    blobs = [unpressed(d.as_py(), "<i8", "<i8", "u1") for d in shard.column("data")]
+    low_of, more, size, flat = (np.concatenate(x) for x in zip(*blobs, strict=True))
+    batch = np.repeat(shard.column("batch").to_numpy(), [len(b[0]) for b in blobs])
+    single, size = size >= ALONE, (size & (ALONE - 1)).astype(np.int64)
+    coded = binaries(size, flat).dictionary_encode()
+    index, distinct = coded.indices.to_numpy(), coded.dictionary
+    count = len(distinct)
+    low, mark = np.full(count, LAST), np.zeros(count, bool)
+    np.minimum.at(low, index, low_of)
+    mark[index] = single
+    sizes = np.diff(np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + count + 1])
     ends = np.cumsum(sizes + 1) - 1
-    data[ends] = 0  # below every byte
+    begins = ends - sizes
+    data = np.zeros(int(sizes.sum()) + count, np.uint8)  # 0, at each context's end, is below every byte
+    data[ragged(begins, sizes)] = np.frombuffer(distinct.buffers()[2], np.uint8)[: int(sizes.sum())] + np.uint8(1)  # UTF-8 has no byte 255
     place, common = suffixes(data)
     starts = np.ones(len(data), bool)  # where SIZE bytes stand
     for i in range(SIZE):
@@ -262,49 +348,87 @@ def resolved(shard: pa.Table) -> pa.Table:
     first[place] = least
     begun = np.full(len(data), -1)
     begun[place] = least
-    begins = ends - sizes
     lowest = np.minimum.reduceat(first, begins)
     highest = np.maximum.reduceat(begun, begins)
-    batch, high = shard.column("batch").to_numpy(), shard.column("low").to_numpy() + shard.column("more").to_numpy()
-    losing = np.flatnonzero(lowest[index] < high)
-    told: dict[int, tuple[int, bytes]] = {}
-    some = np.unique(index[losing])
-    same = (lowest == highest).tolist()
-    for i, key in zip(some.tolist(), keys(text, begins[some], sizes[some] - SIZE + 1).tolist(), strict=True):
-        told[i] = key, (first[begins[i] : begins[i] + 1] if same[i] else first[begins[i] : ends[i] - SIZE + 1]).tobytes()
-    found = [told[i] for i in index[losing].tolist()]
-    return pa.table([pa.array(batch[losing]), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["batch", "key", "firsts"])
-
-
-def marked(data: bytes, doc: int, known: np.ndarray, firsts: np.ndarray, each: dict[int, np.ndarray]) -> np.ndarray:
-    """Which bytes go. known: keys of contexts, ascending; firsts: their strings' first document; each: by place in known, the strings' own where they differ."""
-    begin, n, _ = contexts(data)
-    hit, at = matches(known, keys(data, begin, n))
-    begin, n = begin[hit], n[hit]
-    all_gone = firsts[at] < doc
-    edges = [(begin[all_gone], (begin + n + SIZE - 1)[all_gone])]
-    for a, k in zip(begin.tolist(), at.tolist(), strict=True):
-        if k in each:
-            gone = np.flatnonzero(each[k] < doc) + a
-            edges.append((gone, gone + SIZE))
-    change = np.bincount(np.concatenate([a for a, _ in edges]), minlength=len(data) + 1) - np.bincount(np.concatenate([b for _, b in edges]), minlength=len(data) + 1)
-    return np.cumsum(change)[:-1] > 0
+    losing = np.flatnonzero(lowest[index] < low_of + more)
+    batch, index = batch[losing], index[losing]
+    some, index = np.unique(index, return_inverse=True)
+    text = (data - np.uint8(1)).tobytes()
+    strings = sizes[some] - SIZE + 1
+    key = keys(text, begins[some], strings)
+    part = np.zeros(len(some), np.int32)
+    hot = np.flatnonzero(mark[some])
+    if len(hot):
+        part[hot] = contexts([text[a : a + SIZE] for a in begins[some[hot]].tolist()])[3].astype(np.int32)
+    n = np.where(lowest[some] == highest[some], 1, strings)
+    answers, begin = first[ragged(begins[some], n)], np.cumsum(n) - n
+    order = np.argsort(batch, kind="stable")
+    batch, index = batch[order], index[order]
+    edges = np.flatnonzero(np.append(True, batch[1:] != batch[:-1])).tolist() if len(batch) else []
+    out: list[list] = [[], []]
+    for a, b in zip(edges, [*edges[1:], len(batch)], strict=True):
+        i = index[a:b]
+        out[0].append(int(batch[a]))
+        out[1].append(pressed(np.array([b - a]), key[i], part[i], (n[i] | ALONE * mark[some[i]]).astype(np.uint8), answers[ragged(begin[i], n[i])]))
+    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["batch", "data"])
+
+
+class Answers:
+    """resolved() for one batch."""
+
+    def __init__(self, found: pa.Table):
+        parts = [unpressed(d.as_py(), "<i8", "<i4", "u1") for d in found.column("data")]
+        parts.append([np.zeros(0, k) for k in ("<i8", "<i4", "u1", "u1")])
+        key, part, n, self.firsts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.firsts = self.firsts.view("<i8")
+        self.hot = np.unique(part[n >= ALONE])
+        n = (n & (ALONE - 1)).astype(np.int64)
+        begin = np.cumsum(n) - n
+        self.known, one = np.unique(key, return_index=True)
+        self.n, self.begin = n[one], begin[one]
+
+    def marked(self, texts: list[bytes], joined: bytes, base: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which bytes of joined texts go."""
+        of, at, n, h, key = contexts(texts)
+        at = base[of] + at
+        single = matches(self.hot, h.astype(np.int32))[0]
+        at_one, key_one = alone(joined, at[single], n[single])
+        of_one = np.repeat(of[single], n[single])
+        of, at, n, key = np.append(of, of_one), np.append(at, at_one), np.append(n, np.ones(len(at_one), np.int64)), np.append(key, key_one)
+        hit, place = matches(self.known, key)
+        of, at, n, begin, answers = of[hit], at[hit], n[hit], self.begin[place], self.n[place]
+        every = (answers == 1) & (n > 1)  # one answer for all strings
+        begins, ends = [], []
+        gone = self.firsts[begin[every]] < doc[of[every]]
+        begins.append(at[every][gone])
+        ends.append((at + n + SIZE - 1)[every][gone])
+        of, at, n, begin = of[~every], at[~every], n[~every], begin[~every]
+        gone = self.firsts[ragged(begin, n)] < np.repeat(doc[of], n)
+        begins.append(ragged(at, n)[gone])
+        ends.append(begins[-1] + SIZE)
+        change = np.bincount(np.concatenate(begins), minlength=len(joined) + 1) - np.bincount(np.concatenate(ends), minlength=len(joined) + 1)
+        return np.cumsum(change)[:-1] > 0
 
 
 def cleaned(docs: pa.Table, found: pa.Table) -> pa.Table:
     """docs: packed(); found: resolved(). Per document: doc_id, n_bytes, n_removed, n_spans, kept."""
-    known, one = np.unique(found.column("key").to_numpy(), return_index=True)
-    answers = found.column("firsts").take(pa.array(one)).to_pylist()
-    each = {i: np.frombuffer(f, np.int64) for i, f in enumerate(answers) if len(f) > 8}
-    firsts = np.array([LAST if len(f) > 8 else int.from_bytes(f, "little", signed=True) for f in answers], np.int64)
+    answers, doc_ids = Answers(found), numbers(docs.column("doc_id"))
     out: list[list] = [[], [], [], []]
-    for doc, data in texts(docs):
-        gone = marked(data, number(doc), known, firsts, each)
-        kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-        for o, x in zip(out, (len(data), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)), kept), strict=True):
-            o.append(x)
+    for begin, texts, joined, base in lots(docs):
+        gone = answers.marked(texts, joined, base, doc_ids[begin : begin + len(texts)])
+        ends = np.append(base[1:], len(joined))
+        fresh = gone.copy()  # the first byte of a run
+        fresh[1:] &= ~gone[:-1]
+        inner = base[base < len(joined)]
+        fresh[inner] = gone[inner]
+        sums = [np.append(0, np.cumsum(x, dtype=np.int64)) for x in (gone, fresh)]
+        removed, spans = (x[ends] - x[base] for x in sums)
+        out[0].append(pa.array(ends - base))
+        out[1].append(pa.array(removed))
+        out[2].append(pa.array(spans))
+        out[3].append(binaries(ends - base - removed, np.frombuffer(joined, np.uint8)[~gone]).cast(pa.binary()))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.table([docs.column("doc_id"), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    return pa.table([docs.column("doc_id"), *(pa.chunked_array(o, k) for o, k in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -312,11 +436,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = with_row_id(docs.select("doc_id", "text"), "row").select(F.shiftright("row", BATCH).alias("batch"), "row", "doc_id", "text")
     wanted = shared(anchored(rows.select("batch", "doc_id", "text")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = packed(rows)
-    shards = 1 + docs.count() // SHARD
-    gather = partial(gathered, shards=shards)
-    each = rows.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(lambda a, b: gather(a, b), "shard long, batch long, more long, low long, context binary")
-    found = each.groupBy("shard").applyInArrow(resolved, "batch long, key long, firsts binary")
+    gather = partial(gathered, shards=1 + size // SHARD)
+    each = rows.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(lambda a, b: gather(a, b), "shard long, batch long, data binary")
+    found = each.groupBy("shard").applyInArrow(resolved, "batch long, data binary")
     return rows.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(cleaned, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -332,13 +456,13 @@ def brute(rows: list[tuple[int | None, str | None]], size: int = SIZE) -> list[t
         data = (text or "").encode()
         for i in range(len(data) - size + 1):
             s = data[i : i + size]
-            first[s] = min(first.get(s, LAST), number(doc))
+            first[s] = min(first.get(s, LAST), LAST if doc is None else doc)
     out = []
     for doc, text in rows:
         data = (text or "").encode()
         gone = bytearray(len(data))
         for i in range(len(data) - size + 1):
-            if first[data[i : i + size]] < number(doc):
+            if first[data[i : i + size]] < (LAST if doc is None else doc):
                 gone[i : i + size] = b"\1" * size
         kept = bytes(c for c, g in zip(data, gone, strict=True) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))

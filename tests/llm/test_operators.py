@@ -8,8 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tessel.llm import components as graph
@@ -301,15 +304,83 @@ def test_substrings(spark, empty):
 
 
 def test_contexts_hold_every_string():
-    data = (prose(1, 400) + "zz" * 300).encode()
-    begin, n, h = substrings.contexts(data)
-    assert np.array_equal(np.repeat(begin, n) + np.concatenate([np.arange(k) for k in n]), np.arange(len(data) - 49))
-    other = b"pre" + data[100:300]
-    one = {data[a : a + k + 49]: x for a, k, x in zip(begin.tolist(), n.tolist(), h.tolist(), strict=True)}
-    strings = {c[i : i + 50]: x for c, x in one.items() for i in range(len(c) - 49)}
-    for a, k, x in zip(*(v.tolist() for v in substrings.contexts(other)), strict=True):
-        for i in range(a, a + k):
-            assert strings.get(other[i : i + 50], x) == x
+    texts = [(prose(1, 400) + "zz" * 300).encode(), b"short", b"", b"pre" + prose(1, 400).encode()[100:300], b"x" * 50, prose(2, 30_000).encode()]
+    of, begin, n, h, key = substrings.contexts(texts)
+    for i, t in enumerate(texts):
+        mine = of == i
+        assert np.array_equal(substrings.ragged(begin[mine], n[mine]), np.arange(max(0, len(t) - 49)))
+        assert np.array_equal(substrings.keys(t, begin[mine], n[mine]), key[mine])
+    anchor, by_key = {}, {}
+    for i, a, k, x, y in zip(*(v.tolist() for v in (of, begin, n, h, key)), strict=True):
+        assert by_key.setdefault(y, texts[i][a : a + k + 49]) == texts[i][a : a + k + 49]
+        for j in range(a, a + k):
+            assert anchor.setdefault(texts[i][j : j + 50], x) == x
+
+
+@pytest.mark.parametrize("hot", [0, 3, 4096])
+def test_a_line_amid_differing_text(spark, monkeypatch, hot):
+    """However hot an anchor counts, strings are told as by brute force."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    line = "Permission is granted to use this text freely. "
+    rows = [(i, prose(i, 20) + " " + line + prose(100 + i // 3, 20)) for i in range(30)] + EDGE
+    anchors = substrings.anchored(docs_of(spark, rows).coalesce(2).select((F.col("doc_id") % 3).alias("batch"), "doc_id", "text").fillna({"batch": 0}))
+    flags = [r["hot"] for r in substrings.shared(anchors).collect()]
+    assert any(flags) == (hot < 4096) and all(flags) == (hot == 0)
+    for docs in (docs_of(spark, rows), docs_of(spark, rows).repartition(5)):
+        found = [tuple(r) for r in run_here(docs, shards=3).withColumn("kept", F.sha2("kept", 256)).collect()]
+        assert sorted(map(str, found)) == sorted(map(str, substrings.brute(rows)))
+
+
+def run_here(docs, shards):
+    """deduplicated() with batches of one partition and with several shards; its parts run in this process, so that they see what a test sets."""
+    rows = substrings.with_row_id(docs.select("doc_id", "text"), "row").select(F.shiftright("row", substrings.BATCH).alias("batch"), "row", "doc_id", "text")
+    batch = docs.sparkSession.createDataFrame
+    anchors = substrings.anchored(rows.select("batch", "doc_id", "text")).toArrow()
+    order = np.argsort(anchors.column("h").to_numpy(), kind="stable")
+    caught = {}
+
+    class Rows:
+        repartition = sortWithinPartitions = lambda self, *a: self
+
+        def mapInArrow(self, run, schema):
+            caught["run"] = run
+            return self
+
+    substrings.shared(Rows())
+    step = 7
+    sorted_anchors = anchors.take(pa.array(order)).combine_chunks().to_batches(max_chunksize=step)
+    wanted = pa.Table.from_batches(list(caught["run"](iter(sorted_anchors))))
+    texts = substrings.packed(rows).toArrow()
+    of = lambda t, name, x: t.filter(pa.compute.equal(t.column(name), x))
+    batches = sorted(set(texts.column("batch").to_pylist()))
+    each = pa.concat_tables([substrings.gathered(of(texts, "batch", b), of(wanted, "batch", b), shards) for b in batches])
+    found = pa.concat_tables([substrings.resolved(of(each, "shard", x)) for x in sorted(set(each.column("shard").to_pylist()))])
+    return batch(pa.concat_tables([substrings.cleaned(of(texts, "batch", b), of(found, "batch", b)) for b in batches]))
+
+
+def test_a_hot_line_goes_to_many_shards(spark):
+    """A 46-byte line in every document, amid different text: no shard gets a large part of the contexts around it."""
+    line = b"all of these words stand in every document so "
+    texts = [prose(1000 + i, 12).encode()[:60] + line + prose(9000 + i, 12).encode()[:60] for i in range(3000)]
+    of, at, n, h, key = substrings.contexts(texts)
+    values, counts = np.unique(h, return_counts=True)
+    hot = values[counts > 1000]
+    assert len(hot)
+    table = pa.table({"batch": [0] * 3000, "row": range(3000), "doc_id": range(3000), "data": [zstandard.compress(t) for t in texts]})
+    every = np.unique(h).astype(np.int32)
+    sizes = {}
+    for name, flags in (("cold", np.zeros(len(every), bool)), ("hot", np.isin(every, hot.astype(np.int32)))):
+        got = substrings.gathered(table, pa.table({"batch": [0] * len(every), "part": every, "hot": flags}), 50)
+        sizes[name] = [len(substrings.unpressed(d.as_py(), "<i8", "<i8", "u1")[0]) for d in got.column("data")]
+    assert max(sizes["cold"]) > 5 * np.median(sizes["cold"]) and max(sizes["hot"]) < 2 * np.median(sizes["hot"])
+
+
+def test_long_texts_lose_repeats(spark):
+    """Over several pieces; the repeat crosses a piece's end."""
+    text = prose(4, 60_000)
+    rows = [(1, text[: substrings.PIECE + 3000]), (2, "another begin " + text[substrings.PIECE - 2000 :])]
+    found = {r["doc_id"]: r for r in substrings.deduplicated(docs_of(spark, rows)).collect()}
+    assert found[1]["n_removed"] == 0 and 5000 <= found[2]["n_removed"] <= 5050
 
 
 # --- 6 WARC ------------------------------------------------------------------------------
