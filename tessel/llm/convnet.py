@@ -5,8 +5,9 @@ filter of width w is w tables of 256 weights, so a layer is an array
 (WIDTH, 256, FILTERS), and its value at a position is a sum of WIDTH looked-up rows.
 Chunks of CHUNK positions, each overlapping the next by half, are max-pooled; the mean
 and the maximum of the pooled values over all chunks of a document go through one
-logistic unit. Every byte of a document, however long, is in some chunk; the documents
-are worked through in slices, so memory doesn't grow with their length.
+logistic unit. Every byte of a document, however long, is in some chunk. The layer's values
+are worked through in slices; beside them a text's bytes and pairs of bytes are held, and
+16 maxima for each half chunk, some 6 bytes a byte of text.
 """
 
 from __future__ import annotations

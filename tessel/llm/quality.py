@@ -1,8 +1,9 @@
 """Operator 4: a quality classifier, one byte-level convolutional network for all texts.
 
-The network (convnet.py) is fitted in the driver on at most SAMPLE labelled documents of
-at most SAMPLE_BYTES bytes each, sent to the executors (its weights are 128 kB whatever
-the input), and scores each text whole, in one pass without a shuffle.
+The network (convnet.py) is fitted in the driver on a sample of at most SAMPLE labelled
+documents and SAMPLE_BYTES bytes in all, short and long ones whole, sent to the executors
+(its weights are 128 kB whatever the input), and scores each text whole, in one pass
+without a shuffle. A very long text takes 20 bytes of memory a byte while it's scored.
 
 Null text counts as empty and gets a score like any other. A null doc_id counts as ''
 when folds are drawn. Repeated rows get the same score each. Labels that are null, or
@@ -19,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessel.llm.common import table
 from tessel.llm.convnet import Convnet, fitted
 
-#: The bound on the labelled rows that the network is fitted on, and on the bytes of each.
-SAMPLE, SAMPLE_BYTES = 2000, 1 << 16
+#: The bound on the labelled rows that the network is fitted on, and on the bytes of all of them together.
+SAMPLE, SAMPLE_BYTES = 2000, 1 << 26
 #: Documents with this score or more are kept.
 THRESHOLD = 0.3
 #: Bytes of text scored at once.
@@ -36,20 +38,25 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Convnet:
-    """The network from a sample of labels outside fold 0: the first by a hash, so that reruns agree."""
+    """The network from a sample of labels outside fold 0 whose documents are there: the first by a hash, so that reruns agree."""
     chosen = (
         labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id")) != 0))
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
+        .join(docs.where(F.col("text").isNotNull()).select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
+    order = [F.xxhash64("doc_id", "text"), F.col("doc_id"), F.col("text")]
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     rows = (
         docs.select("doc_id", "text")
-        .where(F.octet_length("text") <= SAMPLE_BYTES)
+        .where(F.col("text").isNotNull())
         .join(F.broadcast(chosen), "doc_id")  # at most sample rows of two numbers
-        .orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+        .orderBy(*order)
         .limit(sample)
+        .withColumn("bytes", so_far)  # of no more than sample rows
+        .where(F.col("bytes") <= SAMPLE_BYTES)
         .collect()
     )
     return fitted([r["text"].encode() for r in rows], [int(r["quality"]) for r in rows])
