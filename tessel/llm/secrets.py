@@ -18,8 +18,9 @@ Positions are code points, found without Python: splitting a text at a pattern a
 extracting the pattern give by turns what lies between matches and the matches; sums of
 their lengths are the positions.
 
-Texts without any part need no join and stay where they are; only the others are joined.
-Null text counts as empty. Repeated rows, and rows that share a doc_id, each get their own
+Every text is searched once, and what is found written to the checkpoint folder; texts
+without any part need no join and stay where they are, only the others are joined. Very
+long texts are searched whole; a text's spans are one array. Null text counts as empty. Repeated rows, and rows that share a doc_id, each get their own
 result; doc_id may be null. An empty table gives an empty result. Further columns are
 ignored by scan() and kept by redacted().
 """
@@ -93,15 +94,6 @@ def parted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base", F.concat(*(spans(text, k) for k in BASE))).withColumn("parts", F.concat(*(spans(text, k) for k in LINKED)))
 
 
-def any_part(text: Column) -> Column:
-    """Whether a text may have a part of any kind: one search each, no positions."""
-    text = F.coalesce(text, F.lit(""))
-    found = F.lit(False)
-    for pattern, _ in (BASE | LINKED).values():
-        found = found | F.regexp_like(text, F.lit(pattern))
-    return found
-
-
 def links(parts: DataFrame) -> DataFrame:
     """parts: ROW, base, parts. Returns each reported weak span: ROW, kind, begin, end."""
     every = parts.select(ROW, F.explode(F.concat("base", "parts")).alias("s")).select(ROW, "s.*")
@@ -121,13 +113,15 @@ def links(parts: DataFrame) -> DataFrame:
     return held.where("completed and not covered").select(ROW, "kind", "begin", "end")
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """docs: ROW, text and more. The rows with any part, without text: ROW, base, spans (all reported, in order), and the other columns."""
-    parts = checkpointed(parted(docs.where(any_part(F.col("text")))).drop("text"))
-    extra = links(parts).groupBy(ROW).agg(F.collect_list(F.struct("kind", "begin", "end")).alias("extra"))
+def scanned(parts: DataFrame) -> DataFrame:
+    """parts: ROW, base, parts and other columns, each row computed once. Instead of parts: spans (all reported, in order); base is put in order."""
+    extra = links(parts.select(ROW, "base", "parts")).groupBy(ROW).agg(F.collect_list(F.struct("kind", "begin", "end")).alias("extra"))
     by_place = lambda s: F.array_sort(F.transform(s, lambda x: F.struct(x["begin"], x["kind"], x["end"])))
     merged = F.concat("base", F.coalesce("extra", F.array().cast(f"array<{SPAN}>")))
-    return parts.join(extra, ROW, "left").withColumn("spans", by_place(merged)).withColumn("base", by_place(F.col("base"))).drop("parts", "extra")
+    weak = F.size("parts") > 0
+    joined = parts.where(weak).join(extra, ROW, "left")
+    alone = parts.where(~weak).withColumn("extra", F.lit(None).cast(f"array<{SPAN}>"))  # nothing to link
+    return joined.unionByName(alone).withColumn("spans", by_place(merged)).withColumn("base", by_place(F.col("base"))).drop("parts", "extra")
 
 
 def written(found: Column) -> Column:
@@ -137,10 +131,7 @@ def written(found: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    rows = with_row_id(docs.select("doc_id", "text"), ROW)
-    none = F.array().cast("array<struct<begin:int,kind:int,end:int>>")
-    clean = rows.where(~any_part(F.col("text"))).select("doc_id", none.alias("base"), none.alias("spans"))
-    both = clean.union(scanned(rows).select("doc_id", "base", "spans"))
+    both = scanned(checkpointed(parted(with_row_id(docs.select("doc_id", "text"), ROW)).drop("text")))
     of_kind = lambda i: F.filter("base", lambda s: s["kind"] == i)
     counts = [F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
     return both.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
@@ -148,10 +139,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every reported span but endpoints, overlapping ones as one, replaced by mark in text."""
-    rows = with_row_id(docs, ROW)
-    clean = rows.where(~any_part(F.col("text"))).select(*docs.columns)
-    hit = rows.where(any_part(F.col("text")))
-    found = scanned(rows.select(ROW, "text")).select(ROW, F.filter("spans", lambda s: s["kind"] != KINDS.index("endpoint")).alias("spans of the row"))
+    kept = [F.col(f"`{c}`").alias(f"column {i}") for i, c in enumerate(docs.columns) if c != "text"]
+    rows = with_row_id(docs.select("text", *kept), ROW)
+    found = scanned(checkpointed(parted(rows))).withColumn("spans", F.filter("spans", lambda s: s["kind"] != KINDS.index("endpoint")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -160,9 +150,9 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         between = F.substring(text, acc["at"] + 1, s["begin"] - acc["at"])
         return F.struct(F.when(fresh, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    done = F.aggregate("spans of the row", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    changed = hit.join(found, ROW, "left").withColumn("text", F.when(F.size("spans of the row") > 0, done).otherwise(F.col("text")))
-    return clean.union(changed.select(*docs.columns))
+    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    changed = F.when(F.size("spans") > 0, done).otherwise(F.col("text"))
+    return found.select(*(changed.alias(c) if c == "text" else F.col(f"column {i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
