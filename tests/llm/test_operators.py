@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from tessel.llm import components as graph
-from tessel.llm import convnet, decontamination, html, induced, mixing, neighbours, quality, secrets, sentences, simhash, substrings, warc
+from tessel.llm import convnet, decontamination, html, induced, labelled, mixing, neighbours, quality, secrets, sentences, simhash, substrings, warc
 from tessel.llm.xxh import xxh64
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -513,11 +514,55 @@ def test_main_text():
     assert html.extracted("just words") == "just words"
 
 
-def test_fitted_weights():
-    labelled = [(f"<nav><a>m {i}</a></nav><article><p>{prose(i, 40)}</p><p>{prose(i + 50, 30)}</p></article><div>{prose(i + 99, 5)}</div>", prose(i, 40) + "\n" + prose(i + 50, 30)) for i in range(30)]
-    weights = html.fitted(labelled)
-    assert weights["word:main"] > 1 and weights["word:aside"] < 0 and weights["word:outside"] < 0
-    assert all(html.extracted(s, weights) == t for s, t in labelled)
+def test_weights_on_pages_not_fitted_on():
+    pages = labelled.pages(150, seed=99)
+    assert np.mean([html.extracted(source) == text for source, text in pages]) > 0.95
+
+
+def test_weights_are_learned_from_the_pages_given():
+    """A site whose menu is a <p> of class x and whose text stands in <div class=y>."""
+    made = [(f"<body><p class=x>{prose(i, 8)}</p><div class=y>{prose(i + 50, 40)}</div><p class=x>{prose(i + 90, 9)}</p>", prose(i + 50, 40)) for i in range(30)]
+    weights = html.fitted(made[:20])
+    assert all(html.extracted(source, weights) == text for source, text in made[20:])
+    assert html.extracted(made[0][0]) != made[0][1]
+    assert html.extracted("<p>a b</p>", html.fitted([])) == ""
+
+
+def test_the_stretch_is_the_best_of_all():
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        scores = r.integers(-3, 4, int(r.integers(0, 30))).tolist()
+        every = [(sum(scores[i:j]), -i, -j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        best = max((x[0] for x in every), default=0)
+        begin, end = html.stretch(scores)
+        if best <= 0:
+            assert (begin, end) == (0, 0)
+        else:
+            assert sum(scores[begin:end]) == best
+            assert end == min(-j for x, _, j in every if x == best)  # of equal ones the first
+
+
+def test_the_scan_decides():
+    """Both paragraphs stand at likely places; the short one is apart by many tags."""
+    stray = "<div><p>Short stray words.</p></div>" + "<div></div>" * 30
+    article = "<div>" + "".join(f"<p>{prose(i, 30)}</p>" for i in range(5)) + "</div>"
+    page = html.Page("<body>" + stray + article, html.standard().known)
+    score = html.standard().of(page)
+    whole = page.text(0, len(page.tokens), lambda place: score(place) > 0)
+    assert whole.startswith("Short stray words.") and html.extracted("<body>" + stray + article) == "\n".join(prose(i, 30) for i in range(5))
+
+
+def test_attributes_are_told_from_their_values():
+    text = "word " * 20
+    assert html.extracted(f'<article><p class="is hidden here" title="a>b">{text}</p><p hidden>No</p><p style="color:red; DISPLAY : none">No</p><p data-x=\'"\'>{text}</p></article>') == "\n".join([text.strip()] * 2)
+
+
+@pytest.mark.parametrize("source", ["<a " * 300_000, "<b>" * 100_000 + "</i>" * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<div>" + "<b>" * 50_000 + "<h1></h1>" * 50_000, "<p x='" * 200_000, "<!-- " * 200_000, "<script>" * 100_000, '<div class="ad x">' * 50_000, "<p>" + "word " * 200_000, "<" * 300_000])
+def test_long_and_broken_pages(source):
+    html.standard()
+    begin = time.process_time()
+    html.extracted(source)
+    assert time.process_time() - begin < 20  # seconds; in proportion to the square it would be hours
 
 
 def test_pages(spark):
