@@ -16,11 +16,13 @@ without the test.
 
 The rotation, the lists' centres and the number of lists that a query probes are fitted
 in the driver on a sample of at most SAMPLE vectors (the first by a hash), every vector is
-indexed. The probes are as few as find PROBED of the sample's own neighbours; where
+indexed. There is a list for each LIST vectors, but no more than one for each 8 of the
+sample. The probes are as few as find PROBED of the sample's own neighbours; where
 vectors have no clusters, as random ones, that is most lists.
 
 Equal vectors are one, with the TOP + 1 smallest of their ids: ties go to smaller ids, so
-a query needs no more of them. Lists are cut into chunks of about CHUNK vectors and the
+a query needs no more of them, and each task gives on no more. Vectors of doubles stay so
+for the scores; the scan works on single precision. Lists are cut into chunks of about CHUNK vectors and the
 queries of a list into packs, and chunks meet packs in a join that Spark can split; so a
 vector or list that holds a third of all rows is no task's alone.
 
@@ -28,7 +30,8 @@ Vectors that are null, zero or hold null or non-finite components take no part,
 queries nor as candidates, nor do rows with a null vec_id. Shorter vectors count as filled
 up with zeros. Repeated rows (one vec_id and one vector) count once; rows with one vec_id
 and several vectors are candidates each, and each a query of its own. A table
-without queries or candidates gives an empty result. Further columns are ignored.
+without queries or candidates gives an empty result. Further columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,14 +42,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessel.llm.common import checkpointed, table
 
 EVERY, TOP = 20, 20
-SAMPLE, LIST, LISTS, SEED = 20_000, 1000, 1024, 5
+SAMPLE, LIST, SEED = 20_000, 1000, 5
 COLUMNS, EPSILON, PROBED, SPARE = 16, 1.2, 0.97, 10
-CHUNK, PACK = 2048, 512
+CHUNK, PACK = 2048, 2048
 
 
 class Lists:
@@ -54,10 +58,11 @@ class Lists:
 
     def __init__(self, sample: np.ndarray, most: float, count: int):
         draw = np.random.default_rng(SEED)
-        self.dim, self.most = sample.shape[1], most
+        self.dim, self.most, self.kind = sample.shape[1], most, sample.dtype
+        sample = sample.astype(np.float32)
         self.rotation = np.linalg.qr(draw.normal(size=(self.dim + 1, self.dim + 1)))[0].astype(np.float32)
         turned = self.turned(sample)
-        n = max(1, min(LISTS, round(count / LIST), len(sample) // 8))
+        n = max(1, min(round(count / LIST), len(sample) // 8))
         self.centres = turned[draw.choice(len(turned), n, replace=False)]
         for _ in range(10):
             mine = self.nearest(turned, 1)[:, 0]
@@ -101,23 +106,33 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(embedding.isNotNull() & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
+def typed(embedding: Column, kind: T.DataType) -> Column:
+    """embedding as single or, if it's of any other type of numbers, double precision."""
+    return embedding.cast("array<float>" if isinstance(kind.elementType, T.FloatType) else "array<double>")
+
+
+def named_by(embedding: Column) -> Column:
+    """A vector's key: 128 bits of hashes."""
+    return F.concat(F.hex(F.xxhash64(embedding)), F.hex(F.xxhash64(F.reverse(embedding), F.lit(1))))
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     """A column of lists as rows, filled up with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.asarray(column.value_lengths())
-    flat = np.asarray(column.flatten(), np.float32)
+    flat = np.asarray(column.flatten())
     if len(sizes) and (sizes == dim).all():
         return flat.reshape(-1, dim)
-    out = np.zeros((len(sizes), dim), np.float32)
+    out = np.zeros((len(sizes), dim), flat.dtype)
     out[np.arange(dim)[None, :] < sizes[:, None]] = flat
     return out
 
 
 def distinct(vectors: DataFrame, every: int = EVERY) -> DataFrame:
     """Per vector: v (a hash and the vector's key), embedding, ids (the TOP + 1 smallest), asked (whether any id is a query's)."""
-    kept = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    keyed = kept.withColumn("v", F.concat(F.hex(F.xxhash64("embedding")), F.hex(F.xxhash64(F.reverse("embedding"), F.lit(1)))))
-    near = Window.partitionBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
+    kept = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), typed(F.col("embedding"), vectors.schema["embedding"].dataType).alias("embedding"))
+    keyed = kept.withColumn("v", named_by(F.col("embedding")))
+    near = Window.partitionBy("v").orderBy("vec_id")  # each task passes on the first of a vector's ids only
     ids = (
         keyed.select("v", "vec_id").distinct().withColumn("place", F.row_number().over(near)).where(F.col("place") <= TOP + 1)
         .groupBy("v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, TOP + 1).alias("ids"))
@@ -153,8 +168,9 @@ def dealt(nodes: DataFrame, queries: DataFrame, lists: Lists, exact: bool = Fals
                 bound = np.repeat(np.full(len(turned), np.inf) if exact else lists.bounds(turned, near), near.shape[1]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), part.column(0).take(take), part.column(1).take(take), pa.array(bound)], names=["list", "v", "embedding", "bound"])
 
-    held = nodes.select("v", "embedding", "ids").mapInArrow(assign, "list int, v string, embedding array<float>, ids array<long>")
-    asked = queries.select("v", "embedding").mapInArrow(probe, "list int, v string, embedding array<float>, bound double")
+    kind = nodes.schema["embedding"].dataType.simpleString()
+    held = nodes.select("v", "embedding", "ids").mapInArrow(assign, f"list int, v string, embedding {kind}, ids array<long>")
+    asked = queries.select("v", "embedding").mapInArrow(probe, f"list int, v string, embedding {kind}, bound double")
 
     def chunk(key: tuple, t: pa.Table) -> pa.Table:
         x = matrix(t.column("embedding"), lists.dim)
@@ -170,7 +186,7 @@ def dealt(nodes: DataFrame, queries: DataFrame, lists: Lists, exact: bool = Fals
 
     def cut(df: DataFrame, size: int) -> DataFrame:
         """df with a column part: as many parts of a list as have about size rows each."""
-        counts = {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}  # at most LISTS rows
+        counts = {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}  # a row a list
         parts = F.array(*(F.lit(-(-counts.get(i, 1) // size)) for i in range(len(lists.centres))))
         return df.withColumn("part", F.pmod(F.xxhash64("v"), F.element_at(parts, F.col("list") + 1)))
 
@@ -209,8 +225,8 @@ def searched(chunks: DataFrame, packs: DataFrame, lists: Lists) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 x, turned, sizes, ids, q, bounds, vs = (batch.column(i)[row] for i in range(7))
-                x = np.frombuffer(x.as_py(), np.float32).reshape(-1, lists.dim).astype(np.float64)
-                q = np.frombuffer(q.as_py(), np.float32).reshape(-1, lists.dim)
+                x = np.frombuffer(x.as_py(), lists.kind).reshape(-1, lists.dim).astype(np.float64)
+                q = np.frombuffer(q.as_py(), lists.kind).reshape(-1, lists.dim)
                 sizes, ids = np.frombuffer(sizes.as_py(), np.int32), np.frombuffer(ids.as_py(), np.int64)
                 turned = np.frombuffer(turned.as_py(), np.float32).reshape(lists.dim + 1, -1)
                 who, what = adaptive(turned, lists.turned(q, True), np.frombuffer(bounds.as_py(), np.float64))
@@ -249,8 +265,8 @@ def nearest(vectors: DataFrame, every: int = EVERY) -> DataFrame:
     if not short.isEmpty():  # too few left in the probed lists: these look at all vectors
         short = checkpointed(short)
         answers = answers.join(short, "v", "left_anti").union(best_of(short, True))
-    kept = vectors.where(usable(F.col("embedding")) & (F.col("vec_id") % every == 0)).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    by_id = kept.select("query_id", F.concat(F.hex(F.xxhash64("embedding")), F.hex(F.xxhash64(F.reverse("embedding"), F.lit(1)))).alias("v")).distinct()
+    kept = vectors.where(usable(F.col("embedding")) & (F.col("vec_id") % every == 0)).select(F.col("vec_id").cast("long").alias("query_id"), typed(F.col("embedding"), vectors.schema["embedding"].dataType).alias("embedding"))
+    by_id = kept.select("query_id", named_by(F.col("embedding")).alias("v")).distinct()
     own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, TOP)
     return by_id.join(answers, "v").select("query_id", F.posexplode(own).alias("place", "x")).select("query_id", (F.col("place") + 1).alias("rank"), "x.vec_id", "x.score")
 

@@ -615,8 +615,8 @@ def test_mixing_nothing(spark, empty, edge):
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
-def nearest_of(rows, every=20, top=20):
-    kept = {(i, tuple(np.float32(v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+def nearest_of(rows, every=20, top=20, kind=np.float32):
+    kept = {(i, tuple(kind(v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = np.array([i for i, _ in kept])
     x = np.array([v for _, v in kept], np.float64)
     out = {}
@@ -644,6 +644,32 @@ def test_neighbours(spark):
     assert [i for i, _ in got[5000]] == [i for i, _ in want[5000]]
 
 
+def clustered(n, dim=12, seed=6):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(30, dim)) * 4
+    return [(i, [float(x) for x in centres[i % 30] + r.normal(size=dim) * 0.5]) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_many_lists_of_which_few_are_probed(spark, monkeypatch, kind):
+    """Clustered vectors, repeated rows, a hot vector, and columns of clashing names; doubles are scored as they are."""
+    monkeypatch.setattr(neighbours, "LIST", 60)
+    rows = clustered(3000)
+    rows += rows[:50] + [(7000 + i, rows[40][1]) for i in range(40)]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS.replace("float", kind))
+    clash = table.select("*", *(F.lit(1).alias(c) for c in ("v", "ids", "asked", "list", "score", "place", "part", "bound", "rank", "query_id")))
+    lists = neighbours.fitted(neighbours.checkpointed(neighbours.distinct(clash)))
+    assert len(lists.centres) > 20 and lists.probes < len(lists.centres) / 2
+    got = {}
+    for x in sorted(neighbours.nearest(clash).collect(), key=lambda x: (x["query_id"], x["rank"])):
+        got.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
+    want = nearest_of(rows, kind=np.float32 if kind == "float" else np.float64)
+    assert set(got) == set(want) and all(len(x) == 20 for x in got.values())
+    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hit >= 0.95 * sum(map(len, want.values()))
+    assert all(abs(s - dict(want[q])[i]) < 1e-12 * max(1, abs(s)) for q in want for i, s in got[q] if i in dict(want[q]))
+
+
 def test_few_neighbours(spark):
     rows = [(i, [float(i + 1), 1.0]) for i in range(5)]
     table = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
