@@ -5,17 +5,23 @@ member that it is in a .warc.gz file, read() reads files of either kind. A
 record's offset is where it begins in the concatenation of all records in order, so the
 table of records says what byte ranges a replica must hold.
 
-tree() hashes records (SHA-256, the leaves) and, level by level, ordered ranges of FANOUT
-records, FANOUT^2 and so on, up to one root. A node is named by its level and place and
-covers a range of offsets; its hash is that of its children's hashes in order. audit()
-compares two trees from the root down: only children of nodes that differ are joined at
-the next level, so what a level reads grows with the corruption and not with the archive;
-at the leaves it tells corrupt records from missing and additional ones.
-
-Records are ordered by key, digest; equal records (repeated rows) are one leaf with a
-count, as no order tells them apart. Null key, url and html are allowed (a null html has
-an empty payload). Two empty archives agree; an empty one differs from any other in all of
-its records. Additional columns are ignored.
+leaves() puts a replica's records in order and cuts the order into ranges, each replica on
+its own: a record whose hash ends in L hexadecimal zeros begins a range of level L, and of
+all lower ones, so ranges hold some 16 of the level below wherever they stand, and a lost
+or additional record doesn't shift those after it. A range is named by the record that
+begins it. tree() hashes records (SHA-256, with size and copies: the leaves) and, level by
+level, the ranges' parts in order, up to one root. audit() compares the roots of two trees
+and, where they differ, goes down: only parts of differing ranges are joined at the next
+level, by name, so what a level reads grows with the damage and not with the archive. In
+differing ranges of level 1 it tells corrupt records (another of the same key stands there)
+from missing and additional ones.
+
+Records are ordered by key, then digest; equal records (repeated rows) are one leaf with a
+count, as no order tells them apart; so a range's size follows from hashes, not from how
+many records have one key. Null key, url and html are allowed (a null html has an empty
+payload). A very long html is a record like any other, hashed in the JVM. Two empty archives
+agree; an empty one differs from any other in all of its records. Additional columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +37,8 @@ from pyspark.sql.window import Window
 
 from tessel.llm.common import checkpointed, table
 
-FANOUT = 16
+#: Levels of ranges that records may begin: 16^LEVELS records are some 10^12.
+LEVELS = 10
 DATE = "2024-01-01T00:00:00Z"
 #: Which keys damaged() cuts, changes and drops.
 CUT, TURNED, LOST = ["07", "17"], ["13", "23"], ["29", "39"]
@@ -52,70 +59,66 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
 
 
 def leaves(found: DataFrame) -> DataFrame:
-    """found: key, record. Per distinct record in order: place (from 0), key, hash, size, copies, begin, end (offsets)."""
+    """found: key, record. Per distinct record in order: place (from 0), key, hash, size, copies, begin, end (offsets), ranges (names of those it's in, from level 1 up)."""
     slim = found.select("key", F.sha2("record", 256).alias("hash"), F.octet_length("record").cast("long").alias("size"))
     return placed(slim.groupBy("key", "hash", "size").agg(F.count(F.lit(1)).alias("copies")))
 
 
 def placed(each: DataFrame) -> DataFrame:
-    """Places and offsets by ranges: each range's rows are numbered on their own, and sums over ranges (one row each) are added."""
+    """Places, offsets and ranges by parts: each part's rows are numbered on their own, and what parts before bring (one row each) is added."""
     order = [F.col("key").asc_nulls_first(), F.col("hash")]
-    ranges = checkpointed(each.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
-    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = checkpointed(each.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    rows = Window.partitionBy("part").orderBy(*order)
+    within, so_far = rows.rowsBetween(Window.unboundedPreceding, -1), rows.rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     bytes_of = F.col("size") * F.col("copies")
-    starts = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.sum(bytes_of).alias("b")).select("range", F.coalesce(F.sum("n").over(before), zero).alias("n0"), F.coalesce(F.sum("b").over(before), zero).alias("b0"))
-    numbered = ranges.withColumn("i", F.count(F.lit(1)).over(within)).withColumn("o", F.coalesce(F.sum(bytes_of).over(within), zero))
+    level = F.length("hash") - F.length(F.rtrim("hash", F.lit("0")))
+    begun = [F.when(level >= i, F.xxhash64("key", "hash")) for i in range(1, LEVELS + 1)]
+    numbered = parts.select("*", F.count(F.lit(1)).over(within).alias("i"), F.coalesce(F.sum(bytes_of).over(within), zero).alias("o"), *(F.last(b, True).over(so_far).alias(f"r{i}") for i, b in enumerate(begun)))
+    last = [F.max_by(b, F.when(b.isNotNull(), F.struct(F.col("key").isNotNull(), F.col("key"), F.col("hash")))) for b in begun]
+    sums = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(bytes_of).alias("b"), *(x.alias(f"l{i}") for i, x in enumerate(last)))
+    starts = sums.select("part", F.coalesce(F.sum("n").over(before), zero).alias("n0"), F.coalesce(F.sum("b").over(before), zero).alias("b0"), *(F.last(f"l{i}", True).over(before).alias(f"l{i}") for i in range(LEVELS)))
     begin = F.col("b0") + F.col("o")
-    return numbered.join(F.broadcast(starts), "range").select((F.col("n0") + F.col("i")).alias("place"), "key", "hash", "size", "copies", begin.alias("begin"), (begin + bytes_of).alias("end"))  # one row a partition
+    ranges = F.array(*(F.coalesce(f"r{i}", f"l{i}", zero) for i in range(LEVELS)))
+    return numbered.join(F.broadcast(starts), "part").select((F.col("n0") + F.col("i")).alias("place"), "key", "hash", "size", "copies", begin.alias("begin"), (begin + bytes_of).alias("end"), ranges.alias("ranges"))  # starts: one row a partition
 
 
-def tree(leaf: DataFrame, fanout: int = FANOUT, levels: int | None = None) -> list[DataFrame]:
-    """Levels from the leaves to the root, each with place, hash, begin, end; levels may be given to match another tree's height."""
-    level = leaf.select("place", F.sha2(F.concat_ws(":", F.lit("leaf"), "hash", "copies", "begin", "end"), 256).alias("hash"), "begin", "end")
+def tree(leaf: DataFrame, height: int) -> list[DataFrame]:
+    """From the leaves, over height levels of ranges, to the root, each with up (the names of the ranges it's in), name (for leaves: none), hash."""
+    level = leaf.select(F.slice("ranges", 1, height).alias("up"), "place", F.sha2(F.concat_ws(":", F.lit("leaf"), "hash", "size", "copies"), 256).alias("hash"))
     out = [level]
-    count = leaf.count() if levels is None else 0
-    while (count > 1) if levels is None else (len(out) < levels):
-        children = F.array_sort(F.collect_list(F.struct("place", "hash")))
-        level = checkpointed(
-            level.groupBy(F.floor(F.col("place") / fanout).cast("long").alias("place")).agg(F.sha2(F.concat_ws(",", F.transform(children, lambda c: c["hash"])), 256).alias("hash"), F.min("begin").alias("begin"), F.max("end").alias("end"))
-        )  # fanout children a node
+    for _ in range(height + 1):
+        children = F.array_sort(F.collect_list(F.struct("place", "hash")))  # some 16
+        level = level.groupBy("up").agg(F.min("place").alias("place"), F.sha2(F.concat_ws(",", F.transform(children, lambda c: c["hash"])), 256).alias("hash"))
+        level = checkpointed(level.select(F.try_element_at("up", F.lit(1)).alias("name"), F.slice("up", 2, LEVELS).alias("up"), "place", "hash"))
         out.append(level)
-        count = -(-count // fanout)
     return out
 
 
-def height(count: int, fanout: int = FANOUT) -> int:
-    levels = 1
-    while count > 1:
-        count = -(-count // fanout)
-        levels += 1
-    return levels
-
-
-def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """primary, replica: leaves(). The places where they differ: place, key, status (corrupt, missing, additional), begin, end, expected, found.
-
-    Both are held at the primary's places: a replica's record is at the place of the
-    primary's record of the same key and rank among those of that key. So a lost record
-    is one difference, not a shift of all that follow.
-    """
-    primary = checkpointed(primary)
-    names = [F.coalesce(F.col("key").cast("string"), F.lit("\0")).alias("k"), F.row_number().over(Window.partitionBy("key").orderBy("hash")).alias("r")]
-    mine, theirs = primary.select("*", *names), replica.select(*names, F.col("hash").alias("h"), F.col("copies").alias("c"), F.col("key").alias("other key"), F.col("begin").alias("b"), F.col("end").alias("e"))
-    at = mine.join(theirs, ["k", "r"], "left").select("place", F.coalesce("h", F.lit("")).alias("hash"), F.coalesce("c", F.lit(0)).alias("copies"), "begin", "end")
-    levels = height(primary.count(), fanout)
-    ours, others = tree(primary, fanout, levels), tree(checkpointed(at), fanout, levels)
-    suspects: DataFrame | None = None
-    for a, b in zip(reversed(ours), reversed(others), strict=True):
-        down = a if suspects is None else a.join(suspects.select(F.col("place").alias("up")), F.floor(F.col("place") / fanout) == F.col("up")).drop("up")
-        suspects = checkpointed(down.join(b.select("place", F.col("hash").alias("other")), "place").where("hash <> other").select("place"))
-    lost = primary.join(suspects, "place").join(at.select("place", F.col("hash").alias("found")), "place")
-    lost = lost.select("place", "key", F.when(F.col("found") == "", "missing").otherwise("corrupt").alias("status"), "begin", "end", F.col("hash").alias("expected"), F.nullif("found", F.lit("")).alias("found"))
-    more = theirs.join(mine.select("k", "r"), ["k", "r"], "left_anti")
-    nothing = F.lit(None)
-    return lost.union(more.select(nothing.cast("long").alias("place"), F.col("other key").alias("key"), F.lit("additional").alias("status"), F.col("b").alias("begin"), F.col("e").alias("end"), nothing.cast("string").alias("expected"), F.col("h").alias("found")))
+def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
+    """primary, replica: leaves(). The records that differ: place (in the primary), key, status (corrupt, missing, additional), begin, end (where the record is, or for additional ones where it is in the replica), expected, found."""
+    sides = [checkpointed(primary), checkpointed(replica)]
+    count = max(x.count() for x in sides)
+    height = next(h for h in range(LEVELS + 1) if count <= 16**h or h == LEVELS)
+    ours, theirs = (tree(x, height) for x in sides)
+    suspects: DataFrame | None = None  # differing ranges: name and up in one array
+    for a, b in zip(reversed(ours[1:]), reversed(theirs[1:]), strict=True):
+        named = [x.select(F.when(F.col("name").isNull(), F.array().cast("array<long>")).otherwise(F.concat(F.array("name"), "up")).alias("path"), "up", "hash") for x in (a, b)]
+        if suspects is not None:
+            up = suspects.select(F.col("path").alias("up"))
+            named = [x.join(up, "up", "left_semi") for x in named]
+        other = named[1].select("path", F.col("hash").alias("other"))
+        suspects = checkpointed(named[0].join(other, "path", "full").where(~F.col("hash").eqNullSafe(F.col("other"))).select("path"))
+        if suspects.isEmpty():
+            break
+    records = [x.withColumn("path", F.slice("ranges", 1, height)).join(suspects, "path", "left_semi").withColumn("k", F.coalesce(F.col("key").cast("string"), F.lit("\0"))) for x in sides]
+    same = ["k", "hash", "copies"]
+    rank = F.row_number().over(Window.partitionBy("k").orderBy("hash")).alias("rank")
+    lost, more = (x.join(y.select(*same), same, "left_anti").select("*", rank) for x, y in (records, records[::-1]))
+    more = more.select("k", "rank", F.col("key").alias("other key"), F.col("hash").alias("found"), F.col("begin").alias("b"), F.col("end").alias("e"))
+    status = F.when(F.col("found").isNull(), "missing").when(F.col("hash").isNull(), "additional").otherwise("corrupt")
+    return lost.join(more, ["k", "rank"], "full").select("place", F.coalesce("key", "other key").alias("key"), status.alias("status"), F.coalesce("begin", "b").alias("begin"), F.coalesce("end", "e").alias("end"), F.col("hash").alias("expected"), "found")
 
 
 def damaged(found: DataFrame) -> DataFrame:

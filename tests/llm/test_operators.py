@@ -489,6 +489,36 @@ def test_audit_finds_what_changed(spark):
     assert warc.audit(leaf, nothing).where("status = 'missing'").count() == 302
 
 
+def test_audit_against_sets(spark):
+    """Replicas with records lost, changed, added and doubled, many of one key; columns of clashing names."""
+    r = np.random.default_rng(11)
+    rows = [(int(r.integers(0, 40)) if i % 3 == 0 else 1000 + i, f"u{i % 50}", f"page {i % 90} " * 3) for i in range(900)]
+    other = [x for x in rows if r.random() > 0.02]
+    other = [(k, u, h + "!") if r.random() < 0.02 else (k, u, h) for k, u, h in other] + [(5, "new", "x"), (None, "new", None), rows[3], rows[3]]
+    frames = [spark.createDataFrame(x, PAGES).select("*", *(F.lit(7).alias(c) for c in ("key", "hash", "place", "part", "path", "up", "name"))) for x in (rows, other)]
+    count = [dict(__import__("collections").Counter(x)) for x in (rows, other)]
+    lost = {x for x, n in count[0].items() if count[1].get(x) != n}
+    more = {x for x, n in count[1].items() if count[0].get(x) != n}
+    keys = {x[0] for x in lost | more}
+    want = []
+    for k in keys:
+        a, b = (sum(x[0] == k for x in side) for side in (lost, more))
+        want += [(str(k), "corrupt")] * min(a, b) + [(str(k), "missing")] * max(0, a - b) + [(str(k), "additional")] * max(0, b - a)
+    found = warc.audit(*(warc.leaves(warc.records(x)) for x in frames)).collect()
+    assert sorted((str(x["key"]), x["status"]) for x in found) == sorted(want) and len(want) > 20
+    assert {x["expected"] for x in found if x["expected"]} <= {x["hash"] for x in warc.leaves(warc.records(frames[0])).collect()}
+
+
+def test_trees_differ_only_on_the_way_to_the_damage(spark):
+    rows = [(i, "u", f"page {i}") for i in range(2000)]
+    found = warc.records(spark.createDataFrame(rows, PAGES))
+    one, two = (warc.tree(warc.leaves(x), 3) for x in (found, found.where("key <> 1234")))
+    for a, b in zip(one[1:], two[1:], strict=True):
+        a, b = ({(x["name"], x["hash"]) for x in t.collect()} for t in (a, b))
+        assert len(a - b) in (1, 2) and len(b - a) in (1, 2)
+    assert len(one) == 5 and one[-1].count() == 1
+
+
 def test_warc_files(spark, tmp_path):
     rows = [(1, "http://a/ü", "é" * 50), (2, "http://b", None)]
     found = warc.members(warc.records(spark.createDataFrame(rows, PAGES))).orderBy("key").collect()
