@@ -302,9 +302,6 @@ def predictor_planar(spark, sf_dir):
     return pixels.horizontal(long_form(g(spark, sf_dir), 3), 8, block_width=16)
 
 
-ROW_SQL = "r AS (SELECT doc_id AS y, encode(md5(text)) AS data FROM documents)"
-
-
 def unpack_sql(bits: int, count: int) -> str:
     """Over the 32 characters of an md5: their bits as a string, cut."""
     return f"""WITH d AS (SELECT doc_id AS y, list_aggregate(list_transform(string_split(md5(text), ''), lambda c: lpad(bin(ascii(c)), 8, '0')), 'string_agg', '') AS s FROM documents),
@@ -479,8 +476,8 @@ def round_trip(name: str, compression: int):
 
         def both(batches):
             for batch in batches:
-                data = [ENCODERS[compression](t.as_py().encode()) for t in batch.column(1)]
-                out = [get_decoder(compression)(d) for d in data]
+                data = [None if t is None else ENCODERS[compression](t.encode()) for t in batch.column(1).to_pylist()]
+                out = [None if d is None else get_decoder(compression)(d) for d in data]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "data"])
 
         rows = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(both, "doc_id long, data binary")
@@ -542,3 +539,43 @@ def open_images(spark, sf_dir):
 
     o, r = georeference.origin(), georeference.resolution()
     return dataset.images(strips(spark, sf_dir)).select("path", "image_id", "width", "height", "spp", "tiled", o[0].alias("origin_x"), o[1].alias("origin_y"), r[0].alias("res_x"))
+
+
+def stored_raster(spark: SparkSession, sf_dir: str, tags: dict) -> str:
+    """E as one file of its rows' number of rows, in the folder that all executors share (a temporary one where none is set); the file's path."""
+    import tempfile
+    import uuid
+
+    from tessel.operators import dataset
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="rasters-")
+    folder = shared.removeprefix("file:").replace("///", "/").rstrip("/")
+    name = f"raster-{uuid.uuid4().hex}.tif"
+    rows = table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / ROWS_OF_A_FILE).alias("part"))
+    cells = rows.agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("r"))  # no more than ROWS_OF_A_FILE rows
+    values = F.flatten(F.transform("r", lambda x: x["embedding"])).cast("array<double>")
+    made = cells.select(F.concat(F.col("part").cast("string"), F.lit("-" + name)).alias("path"), F.size(F.col("r")[0]["embedding"]).alias("width"), F.size("r").alias("height"), F.lit(1).alias("samples"), values.alias("values"))
+    dataset.stored(dataset.written(made, ["path"], tags=tags), folder, "path").write.format("noop").mode("overwrite").save()
+    return f"{folder}/*-{name}"
+
+
+ROWS_OF_A_FILE = 64
+
+
+@query(f"WITH {E_SQL} SELECT y, x, value FROM e WHERE x BETWEEN 10 AND 49 AND y % 64 BETWEEN 5 AND 39")
+def raster_scan(spark, sf_dir):
+    """E written as files of 64 rows, and a window of each read by spark.read.format("raster"): only blocks that meet the window."""
+    from tessel.operators import dataset
+
+    found = dataset.pixels_of(dataset.tiles(spark, stored_raster(spark, sf_dir, {"RowsPerStrip": 16}), pixels.Window(10, 5, 50, 40)))
+    part = F.regexp_extract("path", r"/(\d+)-raster-[^/]*$", 1).cast("long")
+    return found.where((F.col("x") >= 10) & (F.col("x") < 50) & (F.col("y") >= 5) & (F.col("y") < 40)).select((part * ROWS_OF_A_FILE + F.col("y")).alias("y"), "x", "value")
+
+
+@query(f"WITH {E_SQL} SELECT y // 64 AS part, 0 AS image_id, count(DISTINCT x)::BIGINT AS width, count(DISTINCT y)::BIGINT AS height, least(16, count(DISTINCT y))::BIGINT AS block_h FROM e GROUP BY 1")
+def raster_directories(spark, sf_dir):
+    """The images of the same files, by ranges of their directories only."""
+    from tessel.operators import dataset
+
+    found = dataset.images(dataset.files(spark, stored_raster(spark, sf_dir, {"RowsPerStrip": 16})))
+    return found.select(F.regexp_extract("path", r"/(\d+)-raster-[^/]*$", 1).cast("long").alias("part"), "image_id", "width", "height", F.col("block_h"))

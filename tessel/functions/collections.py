@@ -42,6 +42,24 @@ def assigned(target: Column, source: Column) -> Column:
     return F.map_concat(kept, source)
 
 
+def ends_with(text: Column, suffix: Column) -> Column:
+    return F.coalesce(text.endswith(suffix), F.lit(False))
+
+
+def header_map(lines: Column) -> Column:
+    """Header lines `Name: value` as a map of lower-case names; of a name given twice the last counts."""
+    pairs = F.transform(F.filter(lines, lambda x: x.contains(":")), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
+    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda e: ~F.exists(F.slice(pairs, e["i"] + 2, F.size(pairs)), lambda o: o["k"] == e["p"]["k"]))
+    return F.map_from_entries(F.transform(last, lambda e: e["p"]))
+
+
+def strict_content_range(header: Column) -> Column:
+    """`bytes 0-99/200` as a struct first, last, size; null unless all three are numbers, in order, and the size holds them."""
+    parts = content_range(header)
+    good = (F.lower(parts["unit"]) == "bytes") & (parts["first"] <= parts["last"]) & (parts["last"] < parts["size"])
+    return F.when(good, F.struct(parts["first"].alias("first"), parts["last"].alias("last"), parts["size"].alias("size")))
+
+
 def content_range(header: Column) -> Column:
     """`bytes 0-99/200` as a struct unit, first, last, size; null where it isn't one. An unknown size (*) is null."""
     pattern = r"^\s*(\w+)\s+(\d+)-(\d+)/(\d+|\*)\s*$"

@@ -18,6 +18,11 @@ def stored(value: np.ndarray, dtype: np.dtype) -> np.ndarray:
     return np.where(low < size, low, 0).astype(np.uint64).astype(f"u{dtype.itemsize}").view(dtype)
 
 
+def of_new_size(a: np.ndarray, width: int, height: int, samples: int = 1) -> np.ndarray:
+    """Zeros of a's type for an image of that size."""
+    return np.zeros(width * height * samples, a.dtype)
+
+
 def nearest(a: np.ndarray, width: int, height: int) -> np.ndarray:
     h, w = a.shape
     ys = np.minimum(np.floor(h / height * np.arange(height) + 0.5).astype(int), h - 1)

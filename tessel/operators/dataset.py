@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from tessel.plans.georeference import NO_AFFINE, best_fit
 from tessel.plans.pixels import Window
 from tessel.sources import blocks, tiff
 from tessel.sources.codecs import Decoder, array_type, needs_normalization
-from tessel.sources.readers import CachedReader, HttpOptions, MemoryReader, open_reader
+from tessel.sources.readers import BlockedReader, CachedReader, HttpOptions, MemoryReader, ObjectReader, open_reader
 
 
 @dataclass
@@ -74,15 +76,18 @@ class Image:
         t, m = self.directory.numbers("ModelTiepoint"), self.directory.numbers("ModelTransformation")
         if t and len(t) == 6:
             return t[3:]
-        if m and len(m) >= 12:
+        if m is not None:
+            long_enough("ModelTransformation", m, 12)
             return [m[3], m[7], m[11]]
         raise RasterError(NO_AFFINE)
 
     def resolution(self, reference: Image | None = None) -> list[float]:
         s, m = self.directory.numbers("ModelPixelScale"), self.directory.numbers("ModelTransformation")
-        if s and len(s) >= 3:
+        if s is not None:
+            long_enough("ModelPixelScale", s, 3)
             return [s[0], -s[1], s[2]]
-        if m and len(m) >= 11:
+        if m is not None:
+            long_enough("ModelTransformation", m, 11)
             return [m[0], -m[5], m[10]] if m[1] == 0 and m[4] == 0 else [math.hypot(m[0], m[4]), -math.hypot(m[1], m[5]), m[10]]
         if reference is not None:
             r = reference.resolution()
@@ -197,6 +202,11 @@ class Dataset:
         self.fetches, self.files = [], []
 
 
+def long_enough(tag: str, values: list, least: int) -> None:
+    if len(values) < least:
+        raise RasterError(f"{tag} has {len(values)} values; at least {least} are required")
+
+
 def from_reader(fetch: tiff.Fetch, decoders: dict[int, Decoder] | None = None) -> Dataset:
     return Dataset([CachedReader(fetch)], decoders)
 
@@ -218,12 +228,17 @@ def from_url(url: str, options: HttpOptions | None = None, decoders: dict[int, D
 
 
 def from_urls(main: str, overviews: list[str], options: HttpOptions | None = None, decoders: dict[int, Decoder] | None = None) -> Dataset:
-    return Dataset([CachedReader(open_reader(p, options)) for p in (main, *overviews)], decoders)
+    """The files are opened side by side, and stay in the order given."""
+    with ThreadPoolExecutor(8) as pool:
+        return Dataset(list(pool.map(lambda p: CachedReader(open_reader(p, options)), (main, *overviews))), decoders)
 
 
 def from_object(spark: SparkSession, path: str, decoders: dict[int, Decoder] | None = None) -> Dataset:
-    """A file of any store that Spark reads."""
-    return from_bytes(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]), decoders)
+    """A file of an object store, by ranges; of a store that only Spark reads, whole."""
+    try:
+        return from_reader(ObjectReader(path), decoders)
+    except (ValueError, NotImplementedError):  # a scheme that is none of pyarrow's
+        return from_bytes(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]), decoders)
 
 
 def from_source(source, **options) -> Dataset:
@@ -237,13 +252,13 @@ def from_source(source, **options) -> Dataset:
 VALUE = "struct<text:string,numbers:array<double>,is_array:boolean>"
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, content of whole files, from any store that Spark reads."""
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def files(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
+    """path and size of files, from any store that Spark lists; with content their bytes too, which images() and its like don't need: they read a file's directories by ranges."""
+    return spark.read.format("binaryFile").load(path).select("path", "content" if content else F.col("length").alias("size"))
 
 
 def described(found: DataFrame, rows: Callable[[list[tiff.Directory]], list[tuple]], schema: str) -> DataFrame:
-    """found: path, content. One pass over files, each giving rows; schema is of what follows path."""
+    """found: path, and content if it is at hand. One pass over files, each giving rows; schema is of what follows path."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -251,12 +266,14 @@ def described(found: DataFrame, rows: Callable[[list[tiff.Directory]], list[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                data = [(path.as_py(), *r) for r in rows(tiff.parse(MemoryReader(content.as_py())))]
+            for i, path in enumerate(batch.column(0).to_pylist()):
+                fetch = MemoryReader(batch.column(1)[i].as_py()) if held else BlockedReader(open_reader(path))
+                data = [(path, *r) for r in rows(tiff.parse(fetch))]
                 if data:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*data, strict=True), full, strict=True)], schema=full)
 
-    return found.select("path", "content").mapInArrow(run, f"path string, {schema}")
+    held = "content" in found.columns
+    return found.select("path", *(["content"] if held else [])).mapInArrow(run, f"path string, {schema}")
 
 
 IMAGES = "image_id int, width long, height long, spp int, bits array<int>, formats array<int>, photometric int, compression int, predictor int, planar int, tiled boolean, block_w long, block_h long, little_endian boolean, big boolean, nodata double, tiepoint array<double>, pixel_scale array<double>, transform array<double>, subfile int, new_subfile int"
@@ -285,8 +302,8 @@ def geo_keys(found: DataFrame) -> DataFrame:
     return described(found, rows, f"image_id int, key_id int, name string, value {VALUE}")
 
 
-def tiles(spark: SparkSession, path: str, window: Window | None = None, samples: list[int] | None = None, image: int | str = 0) -> DataFrame:
-    """Decoded blocks that a window meets, by the data source: pruned before any task starts."""
+def tiles(spark: SparkSession, path: str, window: Window | None = None, samples: list[int] | None = None, image: int | str = 0, decoders: dict[int, str] | None = None) -> DataFrame:
+    """Decoded blocks that a window meets, by the data source: pruned before any task starts. decoders: names (module:function) by compression."""
     from tessel.sources.datasource import register
 
     register(spark)
@@ -295,6 +312,8 @@ def tiles(spark: SparkSession, path: str, window: Window | None = None, samples:
         reader = reader.option("window", f"{window.x0},{window.y0},{window.x1},{window.y1}")
     if samples:
         reader = reader.option("samples", ",".join(map(str, samples)))
+    if decoders:
+        reader = reader.option("decoders", ",".join(f"{c}={name}" for c, name in decoders.items()))
     return reader.load()
 
 
@@ -313,7 +332,7 @@ def pixels_of(found: DataFrame) -> DataFrame:
     return each.mapInArrow(run, "path string, image_id int, y long, x long, sample int, value double")
 
 
-def written(rasters: DataFrame, keys: list[str], width: str = "width", height: str = "height") -> DataFrame:
+def written(rasters: DataFrame, keys: list[str], width: str = "width", height: str = "height", tags: dict | None = None) -> DataFrame:
     """rasters: keys, width, height, samples, values (array<double>, pixel by pixel). Each row as the bytes of a file of 64-bit floats: keys, content."""
     from tessel.operators.writer import write
 
@@ -322,7 +341,7 @@ def written(rasters: DataFrame, keys: list[str], width: str = "width", height: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(keys)
         for batch in batches:
-            made = [write(np.array(r[3].as_py(), np.float64), {"SamplesPerPixel": r[2].as_py()}, width=r[0].as_py(), height=r[1].as_py()) for r in zip(*(batch.column(n + i) for i in range(4)), strict=True)]
+            made = [write(np.array(r[3].as_py(), np.float64), {"SamplesPerPixel": r[2].as_py()} | (tags or {}), width=r[0].as_py(), height=r[1].as_py()) for r in zip(*(batch.column(n + i) for i in range(4)), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(made, pa.binary())], names=[*keys, "content"])
 
     return rasters.select(*keys, width, height, "samples", "values").mapInArrow(run, f"{schema}, content binary")
@@ -340,6 +359,6 @@ def stored(made: DataFrame, folder: str, name: str = "name") -> DataFrame:
                 with open(part, "wb") as f:
                     f.write(c.as_py())
                 os.replace(part, path)  # whole or not at all, also when a task is done again
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in batch.column(1)], pa.int64())], names=["name", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.compute.binary_length(batch.column(1)).cast(pa.int64())], names=["name", "size"])
 
     return made.select(name, "content").mapInArrow(run, "name string, size long")

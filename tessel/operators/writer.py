@@ -72,7 +72,8 @@ def write(data, tags: dict | None = None, geo_keys: dict[int, object] | None = N
     if not tags.get(262) or not tags[262][0]:
         tags[262] = [2 if len(tags[258]) == 3 else 1]
     if not tiled:
-        tags.setdefault(279, [samples * size * height * width])
+        rows = int(tags[278][0]) if tags.get(278) else height
+        tags.setdefault(279, [samples * size * width * min(rows, height - y) for y in range(0, height, max(1, rows))])
     if 33550 not in tags and 34264 not in tags:
         tags[33550] = [360 / width, 180 / height, 0]
     if 2048 not in keys and 3072 not in keys:
@@ -112,29 +113,28 @@ def offsets(counts: list[int]) -> list[int]:
 
 
 def directory_of_keys(tags: dict, keys: dict[int, object]) -> None:
-    """Numbers stand in the directory itself, strings and doubles in tags that it points into."""
+    """The directory has a row (key, tag that holds the value, count, value or place there) for each key; strings stand one after the other in one tag, each ended by NUL, doubles in another."""
     if 34735 in tags:
         return
-    text, doubles = tags.get(34737, ""), list(tags.get(34736, []))
-    own_text, own_doubles = 34737 not in tags, 34736 not in tags
-    rows: list[int] = []
-    for key in sorted(keys):
-        value = keys[key]
-        if isinstance(value, str):
-            if own_text:
-                rows += [key, 34737, len(value.encode()) + 1, len(text.encode())]
-                text += value + "\0"
-        elif isinstance(value, int):
-            rows += [key, 0, 1, value]
-        elif own_doubles:
-            values = [float(v) for v in np.atleast_1d(value)]
-            rows += [key, 34736, len(values), len(doubles)]
-            doubles += values
-    tags[34735] = [1, 1, 0, len(rows) // 4, *rows]
-    if own_text and text:
-        tags[34737] = text
-    if own_doubles and doubles:
-        tags[34736] = doubles
+    held = {34737: tags.get(34737, "").encode(), 34736: list(tags.get(34736, []))}
+    given = [tag for tag in held if tag in tags]
+
+    def entry(key: int, value: object) -> list[int]:
+        if isinstance(value, int):
+            return [key, 0, 1, value]
+        tag, items = (34737, f"{value}\0".encode()) if isinstance(value, str) else (34736, np.atleast_1d(value).astype(float).tolist())
+        if tag in given:  # the caller's own stands, and has no place for more
+            return []
+        place = len(held[tag])
+        held[tag] += items
+        return [key, tag, len(items), place]
+
+    rows = [r for key in sorted(keys) if (r := entry(key, keys[key]))]
+    tags[34735] = [1, 1, 0, len(rows), *(n for r in rows for n in r)]
+    if held[34737] and 34737 not in given:
+        tags[34737] = held[34737].decode()
+    if held[34736] and 34736 not in given:
+        tags[34736] = held[34736]
 
 
 def directory(tags: dict) -> bytes:

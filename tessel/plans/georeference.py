@@ -19,9 +19,13 @@ NO_AFFINE = "The image does not have an affine transformation."
 
 
 def origin() -> Column:
-    """An array x, y, z: from a single tie point, else from the matrix, else null."""
+    """An array x, y, z: from a single tie point, else from the matrix (an error if it's too short), else null."""
     t, m = F.col("tiepoint"), F.col("transform")
-    return F.when(F.size(t) == 6, F.slice(t, 4, 3)).when(F.size(m) >= 12, F.array(m[3], m[7], m[11]))
+    return F.when(F.size(t) == 6, F.slice(t, 4, 3)).when(F.size(m) >= 12, F.array(m[3], m[7], m[11])).when(m.isNotNull(), short("ModelTransformation", m, 12))
+
+
+def short(tag: str, value: Column, least: int) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{tag} has "), F.size(value).cast("string"), F.lit(f" values; at least {least} are required"))).cast("array<double>")
 
 
 def resolution(reference: Column | None = None) -> Column:
@@ -29,7 +33,8 @@ def resolution(reference: Column | None = None) -> Column:
     s, m = F.col("pixel_scale"), F.col("transform")
     straight = (m[1] == 0) & (m[4] == 0)
     turned = F.array(F.sqrt(m[0] * m[0] + m[4] * m[4]), -F.sqrt(m[1] * m[1] + m[5] * m[5]), m[10])
-    out = F.when(F.size(s) >= 3, F.array(s[0], -s[1], s[2])).when((F.size(m) >= 11) & straight, F.array(m[0], -m[5], m[10])).when(F.size(m) >= 11, turned)
+    out = F.when(F.size(s) >= 3, F.array(s[0], -s[1], s[2])).when(s.isNotNull(), short("ModelPixelScale", s, 3))
+    out = out.when((F.size(m) >= 11) & straight, F.array(m[0], -m[5], m[10])).when(F.size(m) >= 11, turned).when(m.isNotNull(), short("ModelTransformation", m, 11))
     if reference is None:
         return out
     r = reference["resolution"]

@@ -8,6 +8,7 @@ from collections.abc import Callable
 import numpy as np
 
 from tessel.errors import RasterError
+from tessel.sources.tiff import DTYPES
 
 Decoder = Callable[[bytes], bytes]
 
@@ -206,6 +207,15 @@ def dtype_of(sample_format: int, bits: int) -> str:
     raise RasterError("Unsupported data format/bitsPerSample")
 
 
+def zeros_for_type(field_type: int, count: int) -> np.ndarray:
+    """As many values of a tag's field type, rationals as pairs."""
+    if field_type == 2:
+        field_type = 1
+    if field_type not in DTYPES:
+        raise RasterError(f"Invalid field type: {field_type}")
+    return np.zeros(count * (2 if field_type in (5, 10) else 1), DTYPES[field_type])
+
+
 def array_type(sample_format: int, bits: int) -> str:
     """The narrower rule: integers with a sign have 8, 16 or 32 bits, and none has 64."""
     if sample_format == 1 and bits <= 32 or sample_format == 2 and bits in (8, 16, 32) or sample_format == 3 and bits in (16, 32, 64):
@@ -214,7 +224,8 @@ def array_type(sample_format: int, bits: int) -> str:
 
 
 def needs_normalization(sample_format: int, bits: int) -> bool:
-    return not (sample_format in (1, 2) and bits in (8, 16, 32) or sample_format == 3 and bits in (32, 64))
+    whole = sample_format in (1, 2) and bits <= 32 and bits % 8 == 0
+    return not whole and not (sample_format == 3 and bits in (16, 32, 64))
 
 
 def unpredicted(data: bytes, predictor: int, width: int, height: int, bits: list[int], samples: int, order: str) -> tuple[bytes, str]:

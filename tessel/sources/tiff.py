@@ -42,6 +42,18 @@ class Tag:
     def plain(self):
         return self.value if isinstance(self.value, str) or self.is_array else self.value[0]
 
+    def __len__(self) -> int:
+        return len(self.value)
+
+    def indexed(self, i: int):
+        """One element, or None beyond them; of a string a character."""
+        return self.value[i] if 0 <= i < len(self.value) else None
+
+    def whole(self) -> list[int] | None:
+        """As whole numbers, if all of them are, and none is negative."""
+        good = not isinstance(self.value, str) and all(v >= 0 and v == int(v) for v in self.value)
+        return [int(v) for v in self.value] if good else None
+
     def numbers(self) -> list[float]:
         """As quotients where it's rational."""
         if self.field_type in (5, 10):
@@ -74,6 +86,17 @@ class Directory:
         found = self.tags.get(resolve_tag(tag))
         return None if found is None else found.numbers()
 
+    def indexed(self, tag: int | str, i: int):
+        """One element of a tag."""
+        found = self.tags.get(resolve_tag(tag))
+        return None if found is None else found.indexed(i)
+
+    def __len__(self) -> int:
+        return len(self.tags)
+
+    def __iter__(self):
+        return (self.tags[t] for t in sorted(self.tags))
+
     def to_object(self) -> dict:
         return {self.tags[t].name: self.tags[t].plain() for t in sorted(self.tags)}
 
@@ -111,7 +134,8 @@ class Directory:
 
     @property
     def bits(self) -> list[int]:
-        return spread(self.numbers("BitsPerSample"), self.samples, 8)
+        """0 where the tag is absent: such an image can be described but not decoded."""
+        return spread(self.numbers("BitsPerSample"), self.samples, 0)
 
     @property
     def formats(self) -> list[int]:
