@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from tessel.llm import components as graph
-from tessel.llm import convnet, decontamination, html, induced, labelled, mixing, neighbours, quality, secrets, sentences, simhash, substrings, warc
+from tessel.llm import convnet, decontamination, html, induced, labelled, mixing, neighbours, quality, secrets, sentences, similar, simhash, substrings, warc
 from tessel.llm.xxh import xxh64
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -869,11 +869,8 @@ def similar_pairs(texts):
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_stage_keeps_one_of_similar_texts(spark, edits):
     texts = [t for seed in range(8) for t in near_copies(seed, 6, edits)] + [prose(77, 40), "a b", "A  b", "a c"]
-    top = list(range(len(texts)))
-    for i, j in similar_pairs(texts):
-        top = [min(top[i], top[j]) if x in (top[i], top[j]) else x for x in top]
     kept = sorted(r["doc_id"] for r in simhash.stage(spark, docs_of(spark, list(enumerate(texts))), "").collect())
-    assert kept == sorted(set(top))
+    assert kept == kept_of_similar(texts)
 
 
 def test_stage_on_a_hot_group(spark):
@@ -882,6 +879,46 @@ def test_stage_on_a_hot_group(spark):
     assert len(simhash.stage(spark, docs_of(spark, list(enumerate(texts))), "").collect()) == 1
 
 
+def kept_of_similar(texts):
+    top = list(range(len(texts)))
+    for i, j in similar_pairs(texts):
+        top = [min(top[i], top[j]) if x in (top[i], top[j]) else x for x in top]
+    return sorted(set(top))
+
+
+@pytest.mark.parametrize("parts", [4096, 20])
+def test_stage_misses_no_pair_of_hot_keys(spark, monkeypatch, parts):
+    """All keys count as hot; most texts are like neither leads nor each other, but each has a near copy. With few parts frequent keys are broadcast."""
+    monkeypatch.setattr(similar, "HOT", 1)
+    monkeypatch.setattr(similar, "LEADS", 1)
+    monkeypatch.setattr(similar, "PARTS", parts)
+    far = near_copies(5, 40, 4)
+    r = np.random.default_rng(6)
+    near = []
+    for t in far:
+        words = t.split()
+        words[r.integers(0, 120)] = f"n{r.integers(1 << 30)}"
+        near.append(" ".join(words))
+    texts = far + near + ["", "a b", "a B", far[0], prose(78, 30)]
+    kept = sorted(r["doc_id"] for r in simhash.stage(spark, docs_of(spark, list(enumerate(texts))), "").collect())
+    assert kept == kept_of_similar(texts)
+    assert 1 < len(kept) < len(far) + 4
+
+
+def test_prefixes_of_similar_sets_meet(spark):
+    """Whatever the sizes, two sets at the threshold or above share a shingle of their prefixes, with enough left behind it."""
+    texts = [" ".join(f"s{i}" for i in range(a, a + n)) for n in (1, 4, 5, 6, 9, 14, 24, 25, 44) for a in (0, 1, 2, 4)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], f"`{similar.ROW}` long, text string")
+    held = similar.sets(rows).withColumn("c", F.col(similar.ROW))
+    nodes = rows.select(F.col(similar.ROW).alias("node"), F.col(similar.ROW).alias("c"))
+    found = {tuple(sorted(r)) for r in similar.meeting(nodes, rows).collect()}
+    assert {p for p in similar_pairs(texts) if texts[p[0]] != texts[p[1]]} <= found
+    counted = {r["node"]: r["count"] for r in similar.prefixes(held.select(similar.ROW, "c", "hashes")).groupBy("node").count().collect()}
+    for i, t in enumerate(texts):
+        n = max(1, len(t.split()) - 4)
+        assert counted[i] == n - -(-8 * n // 10) + 1
+
+
 def test_control_characters_are_parts_of_words():
     texts = ["a\x00b c\x1cd e\x1ff \x1b g", "one\x01 two three\x7f four", "\x00", "plain words stand here too"]
     assert simhash.fingerprints([t.encode() for t in texts]).tolist() == [fingerprint(t) for t in texts]
