@@ -886,11 +886,11 @@ def kept_of_similar(texts):
     return sorted(set(top))
 
 
-@pytest.mark.parametrize("parts", [4096, 20])
+@pytest.mark.parametrize("parts", [4096, 1])
 def test_stage_misses_no_pair_of_hot_keys(spark, monkeypatch, parts):
-    """All keys count as hot; most texts are like neither leads nor each other, but each has a near copy. With few parts frequent keys are broadcast."""
-    monkeypatch.setattr(similar, "HOT", 1)
-    monkeypatch.setattr(similar, "LEADS", 1)
+    """All texts share one key only; most are like neither its leads nor each other, but each has a near copy. With 4096 parts the key is heavy."""
+    digested = similar.digested
+    monkeypatch.setattr(similar, "digested", lambda docs: digested(docs).withColumn("keys", F.array(F.lit(7).cast("long"))))
     monkeypatch.setattr(similar, "PARTS", parts)
     far = near_copies(5, 40, 4)
     r = np.random.default_rng(6)
@@ -902,21 +902,16 @@ def test_stage_misses_no_pair_of_hot_keys(spark, monkeypatch, parts):
     texts = far + near + ["", "a b", "a B", far[0], prose(78, 30)]
     kept = sorted(r["doc_id"] for r in simhash.stage(spark, docs_of(spark, list(enumerate(texts))), "").collect())
     assert kept == kept_of_similar(texts)
-    assert 1 < len(kept) < len(far) + 4
+    assert 20 < len(kept) < len(far) + 4
 
 
 def test_prefixes_of_similar_sets_meet(spark):
     """Whatever the sizes, two sets at the threshold or above share a shingle of their prefixes, with enough left behind it."""
     texts = [" ".join(f"s{i}" for i in range(a, a + n)) for n in (1, 4, 5, 6, 9, 14, 24, 25, 44) for a in (0, 1, 2, 4)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], f"`{similar.ROW}` long, text string")
-    held = similar.sets(rows).withColumn("c", F.col(similar.ROW))
     nodes = rows.select(F.col(similar.ROW).alias("node"), F.col(similar.ROW).alias("c"))
     found = {tuple(sorted(r)) for r in similar.meeting(nodes, rows).collect()}
     assert {p for p in similar_pairs(texts) if texts[p[0]] != texts[p[1]]} <= found
-    counted = {r["node"]: r["count"] for r in similar.prefixes(held.select(similar.ROW, "c", "hashes")).groupBy("node").count().collect()}
-    for i, t in enumerate(texts):
-        n = max(1, len(t.split()) - 4)
-        assert counted[i] == n - -(-8 * n // 10) + 1
 
 
 def test_control_characters_are_parts_of_words():
