@@ -914,6 +914,17 @@ def test_prefixes_of_similar_sets_meet(spark):
     assert {p for p in similar_pairs(texts) if texts[p[0]] != texts[p[1]]} <= found
 
 
+def test_blocks_of_hot_shingles_lose_no_pair(spark, monkeypatch):
+    """With a block for each two rows of a shingle the same pairs meet as in one block, and no similar one is missed."""
+    texts = [" ".join(f"s{i}" for i in range(a, a + 30)) for a in range(12)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], f"`{similar.ROW}` long, text string")
+    nodes = rows.select(F.col(similar.ROW).alias("node"), F.col(similar.ROW).alias("c"))
+    whole = {tuple(r) for r in similar.meeting(nodes, rows).collect()}
+    monkeypatch.setattr(similar, "BLOCK", 2)
+    assert {tuple(r) for r in similar.meeting(nodes, similar.sets(rows)).collect()} == whole
+    assert set(similar_pairs(texts)) <= {tuple(sorted(p)) for p in whole}
+
+
 def test_control_characters_are_parts_of_words():
     texts = ["a\x00b c\x1cd e\x1ff \x1b g", "one\x01 two three\x7f four", "\x00", "plain words stand here too"]
     assert simhash.fingerprints([t.encode() for t in texts]).tolist() == [fingerprint(t) for t in texts]
