@@ -9,21 +9,25 @@ documents lie:
    (of equal ones the first). Consecutive strings with the same anchor are one context of
    at most 2 * SIZE - GRAM bytes. Equal strings have equal anchors, so a string that
    starts in two documents has an anchor that both have.
-2. A first pass deals out the hashes of anchors, once for each batch of BATCH documents
-   with the number of its different contexts, sorted by Spark (spilling as it must). It
-   finds the anchors of several documents; those of one document need nothing more. And it
-   finds the hot ones, with over HOT contexts in all batches together.
+2. A first pass deals out the hashes of anchors, once for each batch of documents with the
+   number of its different contexts: in order, as steps of some three bytes, a row for each
+   batch and bucket of hashes. It finds the anchors of several documents, which go back in
+   the same form; those of one document need nothing more. And it finds the hot ones, with
+   over HOT contexts in all batches together.
 3. The contexts of the others, once for each batch, go to shards by their anchor's hash.
    Around a hot anchor, such as a line that many documents have amid differing text, each
    string is a context of its own and goes by its own hash: equal strings still meet, and
    no anchor gives a shard more than HOT contexts. A shard sorts the suffixes of its
    distinct contexts and tells each batch the first document of each of their strings.
+   Contexts that can't have a string in common with another one (akin()) need no sorting:
+   their strings are the context's documents', whichever these are.
 4. Each batch marks its documents' bytes and writes what is left.
 
 Texts are shuffled once (by batch; both uses read the same shuffle); contexts and answers
 go as compressed bytes, a row for each batch and shard. Batches collapse copies before
 anything is dealt out: an anchor or context that a third of all documents have is an item
-for each batch, not each document. There is a shard for each SHARD bytes of text.
+for each batch, not each document. A batch has 1 << BATCH documents, more in large tables
+(batch_bits()), as small rows compress badly. There is a shard for each SHARD bytes of text.
 
 Null and empty texts, and texts shorter than SIZE bytes, lose nothing. Very long texts are
 worked on in pieces of PIECE bytes, but marked whole, in some 40 bytes of memory a byte.
@@ -49,16 +53,22 @@ from tessel.llm.induced import DEPTH, suffixes
 
 SIZE, GRAM = DEPTH, 16
 SPAN = SIZE - GRAM
-#: Documents of a batch, as a power of two.
+#: Documents of a batch, as a power of two, where the table is not large.
 BATCH = 10
 #: Bytes of text for each shard of contexts.
-SHARD = 5 << 20
+SHARD = 8 << 20
+#: In tables with over SPREAD batches of documents, bytes of a batch on average.
+LARGE, SPREAD = 16 << 20, 256
+#: Bytes of text for each bucket of anchors' hashes.
+BUCKET = 32 << 20
 #: Contexts of one anchor, summed over batches, beyond which it's hot.
 HOT = 4096
 #: Bytes of text whose anchors are found at once, and whose bytes are marked at once.
 PIECE, MARKED = 1 << 17, 1 << 20
 LAST = (1 << 63) - 1
-SHORT = (1 << 48) - 1
+#: Bits of an anchor's hash that are dealt out.
+BITS = 40
+SHORT = (1 << BITS) - 1
 P = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)]
 #: In a byte with a context's size or a number of answers: it's one string of a hot anchor.
 ALONE = 128
@@ -161,10 +171,31 @@ def ragged(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
 
 
-def anchored(rows: DataFrame) -> DataFrame:
-    """rows: batch, doc_id, text. Once for each batch: h (48 bits of it: one anchor mistaken for another is a context too many, no more), at (from the right: a bit that says if several documents of the batch have it, 16 bits with the number of its contexts, the batch)."""
+def planes(x: np.ndarray) -> bytes:
+    """int64 with all first bytes first, then all second ones: ids of one batch differ in few of them."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplaned(x: np.ndarray) -> np.ndarray:
+    """planes() read as int64, in place again."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def hashes_pressed(h: np.ndarray, *more: np.ndarray) -> bytes:
+    """h: ascending hashes of anchors, as the steps between them, some three bytes each; and what else there is of each."""
+    step = np.diff(h, prepend=0)
+    return pressed(np.array([len(h)]), step.astype(np.uint16), (step >> 16).astype(np.uint8), (step >> 24).astype(np.uint16), *more)
+
+
+def hashes_of(low: np.ndarray, middle: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.cumsum(low.astype(np.int64) | middle.astype(np.int64) << 16 | high.astype(np.int64) << 24)
+
+
+def anchored(rows: DataFrame, buckets: int = 1) -> DataFrame:
+    """rows: batch, doc_id, text. For each batch and bucket of hashes (h): batch, data (pressed: SHORT bits of the hash of each anchor once, in order: one anchor mistaken for another is a context too many, no more; and 16 bits, from the right: whether several documents of the batch have it, the number of its contexts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.array([(i << BITS) // buckets for i in range(buckets + 1)])
         for b in batches:
             ids, docs = b.column(0).to_numpy(), numbers(b.column(1))
             edges = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])).tolist() if len(ids) else []
@@ -173,45 +204,89 @@ def anchored(rows: DataFrame) -> DataFrame:
                 if not len(h):
                     continue
                 h, doc = h & SHORT, docs[begin + of]
-                order = np.lexsort((key, h))
+                order = np.argsort(h)
                 h, key, doc = h[order], key[order], doc[order]
-                new = np.append(True, h[1:] != h[:-1])
-                first = np.flatnonzero(new)
-                new[1:] |= key[1:] != key[:-1]
+                first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                 several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-                n = np.minimum(np.add.reduceat(new.astype(np.int64), first), (1 << 16) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(int(ids[begin]) << 17 | n << 1 | several)], names=["h", "at"])
-
-    return rows.mapInArrow(run, "h long, at long")
+                n = np.diff(np.append(first, len(h)))
+                again = np.flatnonzero(n > 1)  # of these only the different contexts count
+                inner, which = ragged(first[again], n[again]), np.repeat(again, n[again])
+                inner = inner[np.lexsort((key[inner], which))]
+                n[again] = 1
+                fresh = np.flatnonzero((which[1:] == which[:-1]) & (key[inner[1:]] != key[inner[:-1]]))
+                n += np.bincount(which[1:][fresh], minlength=len(n))
+                n = np.minimum(n, (1 << 15) - 1)
+                h, counts = h[first], (n << 1 | several).astype(np.uint16)
+                cut = np.searchsorted(h, bounds)
+                some = np.flatnonzero(np.diff(cut))
+                data = [hashes_pressed(h[cut[i] : cut[i + 1]], counts[cut[i] : cut[i + 1]]) for i in some.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), ids[begin], np.int64)), pa.array(data, pa.binary())], names=["h", "batch", "data"])
+
+    return rows.mapInArrow(run, "h long, batch long, data binary")
+
+
+def told(batch: list[int], data: list[bytes], most: int) -> pa.RecordBatch:
+    """shared() of one bucket's rows; anchors with over most contexts are hot."""
+    parts = [unpressed(d, "<u2", "u1", "<u2", "<u2") for d in data]
+    each = [hashes_of(*p[:3]) for p in parts]
+    ends = np.cumsum([len(h) for h in each])
+    every, counts = np.concatenate(each), np.concatenate([p[3] for p in parts]).astype(np.int64)
+    width = 63 - BITS
+    if len(every) <= 1 << width:  # hash and place in one number, which is sorted much faster than places by hashes
+        both = np.sort(every << width | np.arange(len(every)))
+        h, place = both >> width, both & (1 << width) - 1
+    else:
+        place = np.argsort(every, kind="stable")
+        h = every[place]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    n = np.diff(np.append(first, len(h)))
+    heavy = np.add.reduceat(counts[place] >> 1, first) > most
+    several = (n > 1) | (np.add.reduceat(counts[place] & 1, first) > 0) | heavy
+    kind = np.empty(len(h), np.int8)
+    kind[place] = np.repeat(several + heavy.astype(np.int8), n)
+    out: list[list] = [[], [], []]
+    for b, hashes, kinds in zip(batch, each, np.split(kind, ends[:-1]), strict=True):
+        for hot in (False, True):
+            mine = hashes[kinds == 1 + hot]
+            if len(mine):
+                for column, x in zip(out, (b, hashes_pressed(mine), hot), strict=True):
+                    column.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.binary(), pa.bool_()), strict=True)], names=["batch", "part", "hot"])
 
 
 def shared(anchors: DataFrame) -> DataFrame:
-    """Of anchors in several documents: batch, part (32 bits of h, which are enough within a batch), hot. Equal ones stand in a row, so a pass over each partition finds them; of one anchor no more than HOT rows are held."""
-
-    def told(h: np.ndarray, at: np.ndarray, keep: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(at[keep] >> 17), pa.array(h[keep].astype(np.int32)), pa.array(hot[keep])], names=["batch", "part", "hot"])
+    """Of anchors in several documents: batch, part (hashes_pressed(), a row for the hot ones and one for the others of each row of anchors). A bucket's rows stand together; one bucket is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        known = None  # the anchor of the last rows told, if hot
+        bucket, batch, data = None, [], []
         for b in batches:
-            h, at = np.concatenate([h, b.column(0).to_numpy()]), np.concatenate([at, b.column(1).to_numpy()])
-            if not len(h):
-                continue
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            n = np.diff(np.append(first, len(h)))
-            hot = np.add.reduceat(at >> 1 & 0xFFFF, first) > HOT
-            hot[0] |= known == h[0]
-            several = (n > 1) | (np.add.reduceat(at & 1, first) > 0) | hot
-            stop = len(h) if hot[-1] else int(first[-1])
-            known = int(h[-1]) if hot[-1] else None
-            keep = np.flatnonzero(np.repeat(several, n)[:stop])
-            yield told(h, at, keep, np.repeat(hot, n))
-            h, at = h[stop:], at[stop:]
-        several = len(h) > 1 or bool((at & 1).any())
-        yield told(h, at, np.arange(len(h) if several else 0), np.zeros(len(h), bool))
-
-    return anchors.repartition("h").sortWithinPartitions("h").mapInArrow(run, "batch long, part int, hot boolean")
+            for x, y, z in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if x != bucket and data:
+                    yield told(batch, data, HOT)
+                    batch, data = [], []
+                bucket = x
+                batch.append(y)
+                data.append(z)
+        if data:
+            yield told(batch, data, HOT)
+
+    return anchors.repartition("h").sortWithinPartitions("h").mapInArrow(run, "batch long, part binary, hot boolean")
+
+
+def parts_of(wanted: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """wanted: shared(), or part as a number of 32 bits. Each anchor once, ascending, and whether it's hot."""
+    part, hot = wanted.column("part"), wanted.column("hot").to_numpy()
+    if pa.types.is_binary(part.type):
+        each = [hashes_of(*unpressed(d.as_py(), "<u2", "u1", "<u2")[:3]) for d in part]
+        known, hot = np.concatenate([np.zeros(0, np.int64), *each]), np.repeat(hot, [len(x) for x in each])
+    else:
+        known = part.to_numpy()
+    if not len(known):
+        return known, hot
+    order = np.argsort(known)
+    known, hot = known[order], hot[order]
+    first = np.flatnonzero(np.append(True, known[1:] != known[:-1]))
+    return known[first], np.logical_or.reduceat(hot, first)  # of equal parts it's hot if any is
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -274,17 +349,13 @@ def alone(joined: bytes, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.
 
 def gathered(docs: pa.Table, wanted: pa.Table, shards: int) -> pa.Table:
     """docs: packed(), of one batch; wanted: its shared anchors. Each distinct context once: shard, batch, and (pressed) low and more (the least doc_id; with more added: the greatest), size, bytes."""
-    order = np.argsort(wanted.column("part").to_numpy())
-    known, hot = wanted.column("part").to_numpy()[order], wanted.column("hot").to_numpy()[order]
-    if len(known):  # of equal parts it's hot if any is
-        first = np.flatnonzero(np.append(True, known[1:] != known[:-1]))
-        known, hot = known[first], np.logical_or.reduceat(hot, first)
+    known, hot = parts_of(wanted)
     doc_ids = numbers(docs.column("doc_id"))
     found: dict[int, bytes] = {}
     parts = [(np.zeros(0, np.int64),) * 3]
     for begin, texts, joined, base in lots(docs) if len(known) else ():
         of, at, n, h, key = contexts(texts)
-        hit, place = matches(known, h.astype(np.int32))
+        hit, place = matches(known, h & SHORT if known.dtype == np.int64 else h.astype(np.int32))
         of, at, n, h, key, single = of[hit], (base[of] + at)[hit], n[hit], h[hit], key[hit], hot[place]
         at_one, key_one = alone(joined, at[single], n[single])
         deal = np.append(h[~single], key_one) % shards
@@ -307,7 +378,7 @@ def gathered(docs: pa.Table, wanted: pa.Table, shards: int) -> pa.Table:
     names = key.tolist()
     for a, b in zip(edges, [*edges[1:], len(shard)], strict=True):
         out[0].append(int(shard[a]))
-        out[1].append(pressed(np.array([b - a]), low[a:b], high[a:b] - low[a:b], size[a:b], b"".join([found[k] for k in names[a:b]])))
+        out[1].append(pressed(np.array([b - a]), planes(low[a:b]), planes(high[a:b] - low[a:b]), size[a:b], b"".join([found[k] for k in names[a:b]])))
     batch = docs.column("batch")[0].as_py() if docs.num_rows else 0
     return pa.table([pa.array(out[0], pa.int64()), pa.array([batch] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary())], names=["shard", "batch", "data"])
 
@@ -318,10 +389,46 @@ def binaries(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def akin(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of different contexts, one after the other in text, those that may have a string in common with another one. Of a string's other bytes half or more stand on one side of its anchor, so both contexts have the anchor with as many bytes on that side; what is equal there is told by hashes, and a chance match is a context too many."""
+    h = grams(text.tobytes())
+    anchor = begins + (h[begins[:, None] + np.arange(SPAN + 1)] >> np.uint64(24)).argmin(1)
+    half = SPAN // 2
+    found = np.zeros(len(begins), bool)
+    for first, whole in ((anchor - half, anchor - half >= begins), (anchor, anchor + GRAM + half <= begins + sizes)):
+        with np.errstate(over="ignore"):
+            side = h[first[whole]] * P[1] ^ h[first[whole] + half] * P[2]
+        order = np.argsort(side)
+        same = side[order[1:]] == side[order[:-1]]
+        found[np.flatnonzero(whole)[order[np.append(same, False) | np.append(False, same)]]] = True
+    return np.flatnonzero(found)
+
+
+def told_apart(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts in text, by suffix sorting. Of each place of all of them, with a byte after each, the first document of the string that begins there, for other places LAST, and the same with -1; and where each context begins."""
+    ends = np.cumsum(sizes + 1) - 1
+    at = ends - sizes
+    data = np.zeros(int(sizes.sum()) + len(sizes), np.uint8)  # 0, at each context's end, is below every byte
+    data[ragged(at, sizes)] = text[ragged(begins, sizes)] + np.uint8(1)  # UTF-8 has no byte 255
+    place, common = suffixes(data)
+    starts = np.ones(len(data), bool)  # where SIZE bytes stand
+    for i in range(SIZE):
+        starts[ends - i] = False
+    group = np.cumsum(common < SIZE)
+    whole = np.flatnonzero(starts[place])
+    place, group = place[whole], group[whole]
+    edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    least = np.repeat(np.minimum.reduceat(np.repeat(low, sizes + 1)[place], edge), np.diff(np.append(edge, len(group))))
+    first, begun = np.full(len(data), LAST), np.full(len(data), -1)
+    first[place] = least
+    begun[place] = least
+    return first, begun, at
+
+
 def resolved(shard: pa.Table) -> pa.Table:
     """A shard's contexts as batches have them. For each batch that may lose bytes: batch, and (pressed) of each such context the key (a hash of it), how many answers, the anchor's part if it's one string of a hot one, else 0; and the answers: each string's first document; one number if it's the same for all."""
     blobs = [unpressed(d.as_py(), "<i8", "<i8", "u1") for d in shard.column("data")]
-    low_of, more, size, flat = (np.concatenate(x) for x in zip(*blobs, strict=True))
+    low_of, more, size, flat = (np.concatenate(x) for x in zip(*((unplaned(a), unplaned(b), c, d) for a, b, c, d in blobs), strict=True))
     batch = np.repeat(shard.column("batch").to_numpy(), [len(b[0]) for b in blobs])
     single, size = size >= ALONE, (size & (ALONE - 1)).astype(np.int64)
     coded = binaries(size, flat).dictionary_encode()
@@ -331,29 +438,18 @@ def resolved(shard: pa.Table) -> pa.Table:
     np.minimum.at(low, index, low_of)
     mark[index] = single
     sizes = np.diff(np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + count + 1])
-    ends = np.cumsum(sizes + 1) - 1
-    begins = ends - sizes
-    data = np.zeros(int(sizes.sum()) + count, np.uint8)  # 0, at each context's end, is below every byte
-    data[ragged(begins, sizes)] = np.frombuffer(distinct.buffers()[2], np.uint8)[: int(sizes.sum())] + np.uint8(1)  # UTF-8 has no byte 255
-    place, common = suffixes(data)
-    starts = np.ones(len(data), bool)  # where SIZE bytes stand
-    for i in range(SIZE):
-        starts[ends - i] = False
-    group = np.cumsum(common < SIZE)
-    whole = np.flatnonzero(starts[place])
-    place, group = place[whole], group[whole]
-    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    least = np.repeat(np.minimum.reduceat(np.repeat(low, sizes + 1)[place], begin), np.diff(np.append(begin, len(group))))
-    first = np.full(len(data), LAST)
-    first[place] = least
-    begun = np.full(len(data), -1)
-    begun[place] = least
-    lowest = np.minimum.reduceat(first, begins)
-    highest = np.maximum.reduceat(begun, begins)
+    begins = np.cumsum(sizes) - sizes
+    text = np.frombuffer(distinct.buffers()[2], np.uint8)[: int(sizes.sum())]
+    lowest, highest, source, asked = low.copy(), low.copy(), low, np.arange(count)  # of a context, and where the answers of each begin
+    sort = akin(text, begins, sizes)
+    if len(sort):
+        first, begun, at = told_apart(text, begins[sort], sizes[sort], low[sort])
+        lowest[sort], highest[sort] = np.minimum.reduceat(first, at), np.maximum.reduceat(begun, at)
+        source, asked[sort] = np.append(low, first), count + at
     losing = np.flatnonzero(lowest[index] < low_of + more)
     batch, index = batch[losing], index[losing]
     some, index = np.unique(index, return_inverse=True)
-    text = (data - np.uint8(1)).tobytes()
+    text = text.tobytes()
     strings = sizes[some] - SIZE + 1
     key = keys(text, begins[some], strings)
     part = np.zeros(len(some), np.int32)
@@ -361,7 +457,7 @@ def resolved(shard: pa.Table) -> pa.Table:
     if len(hot):
         part[hot] = contexts([text[a : a + SIZE] for a in begins[some[hot]].tolist()])[3].astype(np.int32)
     n = np.where(lowest[some] == highest[some], 1, strings)
-    answers, begin = first[ragged(begins[some], n)], np.cumsum(n) - n
+    answers, begin = source[ragged(asked[some], n)], np.cumsum(n) - n
     order = np.argsort(batch, kind="stable")
     batch, index = batch[order], index[order]
     edges = np.flatnonzero(np.append(True, batch[1:] != batch[:-1])).tolist() if len(batch) else []
@@ -369,7 +465,7 @@ def resolved(shard: pa.Table) -> pa.Table:
     for a, b in zip(edges, [*edges[1:], len(batch)], strict=True):
         i = index[a:b]
         out[0].append(int(batch[a]))
-        out[1].append(pressed(np.array([b - a]), key[i], part[i], (n[i] | ALONE * mark[some[i]]).astype(np.uint8), answers[ragged(begin[i], n[i])]))
+        out[1].append(pressed(np.array([b - a]), key[i], part[i], (n[i] | ALONE * mark[some[i]]).astype(np.uint8), planes(answers[ragged(begin[i], n[i])])))
     return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["batch", "data"])
 
 
@@ -379,8 +475,7 @@ class Answers:
     def __init__(self, found: pa.Table):
         parts = [unpressed(d.as_py(), "<i8", "<i4", "u1") for d in found.column("data")]
         parts.append([np.zeros(0, k) for k in ("<i8", "<i4", "u1", "u1")])
-        key, part, n, self.firsts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.firsts = self.firsts.view("<i8")
+        key, part, n, self.firsts = (np.concatenate(x) for x in zip(*((k, p, n, unplaned(f)) for k, p, n, f in parts), strict=True))
         self.hot = np.unique(part[n >= ALONE])
         n = (n & (ALONE - 1)).astype(np.int64)
         begin = np.cumsum(n) - n
@@ -431,12 +526,20 @@ def cleaned(docs: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table([docs.column("doc_id"), *(pa.chunked_array(o, k) for o, k in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def batch_bits(count: int, size: int) -> int:
+    """Documents of a batch, as a power of two: more than BATCH in large tables, up to LARGE bytes on average, as contexts go in a row for each batch and shard, and many small rows compress badly."""
+    bits = BATCH
+    while size > SPREAD * LARGE >> 1 and (size << bits + 1) <= count * LARGE and (size << bits + 1) <= count * size // SPREAD:
+        bits += 1
+    return bits
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = with_row_id(docs.select("doc_id", "text"), "row").select(F.shiftright("row", BATCH).alias("batch"), "row", "doc_id", "text")
-    wanted = shared(anchored(rows.select("batch", "doc_id", "text")))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    rows = with_row_id(docs.select("doc_id", "text"), "row").select(F.shiftright("row", batch_bits(count, size)).alias("batch"), "row", "doc_id", "text")
+    wanted = shared(anchored(rows.select("batch", "doc_id", "text"), 1 + size // BUCKET))
     rows = packed(rows)
     gather = partial(gathered, shards=1 + size // SHARD)
     each = rows.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(lambda a, b: gather(a, b), "shard long, batch long, data binary")

@@ -460,6 +460,48 @@ def test_a_hot_line_goes_to_many_shards(spark):
     assert max(sizes["cold"]) > 5 * np.median(sizes["cold"]) and max(sizes["hot"]) < 2 * np.median(sizes["hot"])
 
 
+def test_anchors_are_dealt_out_in_few_bytes(spark):
+    """A row for each batch and bucket, not for each anchor, some four bytes an anchor; buckets hold what one would, and only shared anchors come back."""
+    rows = [(i, prose(i % 200, 150)) for i in range(300)]
+    docs = docs_of(spark, rows).coalesce(1).select(F.lit(0).cast("long").alias("batch"), "doc_id", "text")
+    h = [x & substrings.SHORT for x in substrings.contexts([t.encode() for _, t in rows])[3].tolist()]
+    of = lambda d: substrings.hashes_of(*substrings.unpressed(d, "<u2", "u1", "<u2")[:3])
+    dealt = substrings.anchored(docs, 5).collect()
+    assert len(dealt) == 5 and sorted(r["h"] for r in dealt) == list(range(5))
+    assert np.concatenate([of(r["data"]) for r in sorted(dealt, key=lambda r: r["h"])]).tolist() == sorted(set(h))
+    assert sum(len(r["data"]) for r in dealt) < 6 * len(set(h))  # a small batch has long steps
+    first = set(substrings.contexts([t.encode() for _, t in rows[:100]])[3].tolist())
+    told = substrings.shared(substrings.anchored(docs, 5)).collect()
+    back = {x for r in told for x in of(r["part"]).tolist()}
+    assert len(told) <= 10 and {x & substrings.SHORT for x in first} <= back <= set(h)
+
+
+def test_batches_grow_with_the_table():
+    """Contexts go in a row for each batch and shard, and rows of a few hundred bytes compress badly: of 10 GB of text (6 GB as Parquet) rows stand for 6 kB and more, but batches stay small and many."""
+    for size, mean in ((10**8, 3300), (10**9, 3300), (10**10, 3300), (10**10, 300), (10**10, 30_000)):
+        count = size // mean
+        batches = count >> substrings.batch_bits(count, size)
+        assert size / batches <= 1.01 * max(substrings.LARGE, mean << substrings.BATCH) and batches >= min(substrings.SPREAD, count >> substrings.BATCH)
+        assert size < 10**10 or size / batches / (1 + size // substrings.SHARD) > 6000
+    assert substrings.batch_bits(0, 0) == substrings.BATCH
+
+
+def test_only_contexts_with_equal_parts_are_sorted(monkeypatch):
+    """Contexts with no string in common with another one take no part in the sort; those with one all do."""
+    texts = [prose(i, 30).encode() for i in range(40)]
+    texts += [b"0123456789 " + t[40:160] + b" other end %d" % i for i, t in enumerate(texts[:10])]
+    of, at, n, h, key = substrings.contexts(texts)
+    each = sorted({texts[i][a : a + k + 49] for i, a, k in zip(of.tolist(), at.tolist(), n.tolist(), strict=True)})
+    strings = {}
+    for i, c in enumerate(each):
+        for j in range(len(c) - 49):
+            strings.setdefault(c[j : j + 50], set()).add(i)
+    meet = {i for found in strings.values() if len(found) > 1 for i in found}
+    sizes = np.array([len(c) for c in each])
+    kept = substrings.akin(np.frombuffer(b"".join(each), np.uint8), np.cumsum(sizes) - sizes, sizes).tolist()
+    assert meet and meet <= set(kept) and len(kept) < len(each) / 2
+
+
 def test_long_texts_lose_repeats(spark):
     """Over several pieces; the repeat crosses a piece's end."""
     text = prose(4, 60_000)
