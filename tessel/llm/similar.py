@@ -1,9 +1,12 @@
 """The pipeline's near duplicates: texts of similarity SIMILAR = 0.8 or more.
 
 Similarity is the Jaccard index of two texts' sets of shingles of SHINGLE = 5 words; a
-text of fewer words is one shingle. At 0.8 fingerprints of 64 bits differ in some 10 bits,
-for which pigeonhole keys would be too short to join on. So candidates are found by minima
-of hashes: BANDS = 20 keys of ROWS = 4 minima each. A pair at 0.8 shares a key with
+text of fewer words is one shingle. SimHash comes first, by operator 3's own functions:
+texts whose fingerprints (of these shingles) differ in 2 bits or fewer are candidates, one
+text of each fingerprint for its links to others. At 0.8 fingerprints of 64 bits differ in
+some 10 bits, for which pigeonhole keys would be too short to join on. So the candidates
+that lie further apart are found by minima of hashes: BANDS = 20 keys of ROWS = 4 minima
+each. A pair at 0.8 shares a key with
 probability 1 - (1 - 0.8 ^ 4) ^ 20 = 0.99997. Candidates are then held against each other
 shingle by shingle, so no pair below 0.8 links.
 
@@ -96,7 +99,7 @@ def batches_of(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def digested(docs: DataFrame) -> DataFrame:
-    """docs: ROW, doc_id, text. Instead of text: the digest of the normal text, its number of different shingles and its keys."""
+    """docs: ROW, doc_id, text. Instead of text: the digest of the normal text, its number of different shingles, its SimHash fingerprint (fp) and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,11 +107,12 @@ def digested(docs: DataFrame) -> DataFrame:
             for a, b in batches_of(texts):
                 both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts[a:b]), np.int64).reshape(-1, 2)
                 keys, sizes = bands(texts[a:b])
+                prints = simhash.hashed(texts[a:b], SHINGLE).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(sizes, pa.int64()), lists], names=[ROW, "doc_id", "h1", "h2", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(prints), lists], names=[ROW, "doc_id", "h1", "h2", "size", "fp", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(ROW, "doc_id", "text").mapInArrow(run, f"`{ROW}` long, doc_id {kind}, h1 long, h2 long, size long, keys array<long>")
+    return docs.select(ROW, "doc_id", "text").mapInArrow(run, f"`{ROW}` long, doc_id {kind}, h1 long, h2 long, size long, fp long, keys array<long>")
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -154,6 +158,21 @@ def on_key(rows: DataFrame, other: DataFrame, heavy: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(heavy), "key", "left_anti").join(other, "key").unionByName(rows.join(hot, "key"))
 
 
+def near(texts: DataFrame) -> DataFrame:
+    """texts: node, size, fp. By SimHash: a, m, b, n (two nodes and their sizes) of each text and the first one of its fingerprint, and of the first ones of fingerprints that operator 3 links."""
+    first = F.min(F.struct("node", "size")).alias("l")
+    rows = texts.select("node", "size", F.col("fp").alias("key"))
+    shared, heavy = shared_keys(rows, first)
+    same = on_key(rows, shared, heavy).select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("l.node").alias("b"), F.col("l.size").alias("n"))
+    firsts = checkpointed(rows.groupBy("key").agg(first))
+    found = checkpointed(simhash.linked(firsts.select(F.col("key").alias("fp"))).distinct()).select("a", F.col("b").alias("key"))
+    _, heavy = shared_keys(found)
+    found = on_key(found, firsts, heavy).select(F.col("a").alias("key"), F.col("l").alias("lb"))
+    _, heavy = shared_keys(found)
+    found = on_key(found, firsts, heavy).select(F.col("l.node").alias("a"), F.col("l.size").alias("m"), F.col("lb.node").alias("b"), F.col("lb.size").alias("n"))
+    return same.union(found).where(F.col("a") != F.col("b"))
+
+
 def prefixes(held: DataFrame) -> DataFrame:
     """held: ROW, c, weight, hashes. Per shingle of each prefix that another text may have too: node, c, weight, size, key, its place (from 0), and MAP bits of the whole set (BITS)."""
     counted = held.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
@@ -213,15 +232,18 @@ def groups(docs: DataFrame) -> DataFrame:
     """docs: ROW, doc_id, text. Per row ROW, doc_id, component (of its group the same for all)."""
     every = checkpointed(digested(docs))
     nodes = every.groupBy("h1", "h2").agg(F.min(ROW).alias("node"))
-    distinct = every.join(nodes.select("node"), every[ROW] == F.col("node"), "left_semi").select(F.col(ROW).alias("node"), "size", F.explode("keys").alias("key"))
+    texts = every.join(nodes.select("node"), every[ROW] == F.col("node"), "left_semi").select(F.col(ROW).alias("node"), "size", "fp", "keys")
+    fits = F.least("m", "n") >= F.greatest("m", "n") * (SIMILAR - 1e-9)
+    close = checkpointed(near(texts.select("node", "size", "fp")).where(fits))
+    distinct = texts.select("node", "size", F.explode("keys").alias("key"))
     least = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("mixed"), "node", "size")) for i in range(LEADS)]
     shared, heavy = shared_keys(distinct, F.array(*least).alias("leads"))
     met = checkpointed(on_key(distinct, shared, heavy))
-    held = checkpointed(sets(docs.select(ROW, "text").join(met.select(F.col("node").alias(ROW)).distinct(), ROW, "left_semi")))
+    some = met.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    held = checkpointed(sets(docs.select(ROW, "text").join(some.withColumnRenamed("node", ROW), ROW, "left_semi")))
     leads = F.when(F.col("sharers") > HOT, F.col("leads")).otherwise(F.slice("leads", 1, 1))
     led = met.select("node", F.col("size").alias("m"), F.explode(leads).alias("l")).select(F.col("node").alias("a"), "m", F.col("l.node").alias("b"), F.col("l.size").alias("n"))
-    fits = F.least("m", "n") >= F.greatest("m", "n") * (SIMILAR - 1e-9)
-    linked = verified(led.where((F.col("a") != F.col("b")) & fits).select("a", "b"), held)
+    linked = verified(led.where((F.col("a") != F.col("b")) & fits).union(close).select("a", "b"), held)
     found = components(linked).withColumnRenamed("component", "c")
     placed = checkpointed(met.where("sharers > 2").join(found, "node", "left").select("key", "sharers", "node", "size", F.coalesce("c", "node").alias("c")))
     split = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")

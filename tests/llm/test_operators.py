@@ -976,3 +976,24 @@ def test_adverts_do_not_end_an_article():
     one, two = " ".join(f"a{i}" for i in range(150)), " ".join(f"b{i}" for i in range(150))
     advert = '<div class="advert"><p>' + "buy " * 30 + "</p></div>"
     assert html.extracted(f"<body><div><p>{one}</p>{advert}<p>{two}</p></div></body>") == f"{one}\n{two}"
+
+
+def test_near_dedup_links_by_simhash(spark, monkeypatch):
+    """Texts with fingerprints 2 bits apart or fewer, equal ones included, link without any key of minima; those that meet so but are not similar don't."""
+    digested = similar.digested
+
+    def without_keys(docs):
+        return digested(docs).withColumn("keys", F.transform("keys", lambda k: F.xxhash64(k, F.col(similar.ROW))))
+
+    monkeypatch.setattr(similar, "digested", without_keys)
+    long = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(long), " ".join([*long, "one"]), " ".join(["two", *long]), " ".join(long[:1000]), "", "a", "b c d"]
+    prints = similar.simhash.fingerprints([t.encode() for t in texts], similar.SHINGLE).tolist()
+    assert max((prints[0] ^ p).bit_count() for p in prints[:3]) <= 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).withColumn(similar.ROW, F.col("doc_id"))
+    found = {r["doc_id"]: r["component"] for r in similar.groups(rows).collect()}
+    assert len({found[i] for i in range(3)}) == 1 and len(set(found.values())) == 5
+    made = {1: 5, 2: 5, 3: 4, 4: 7 << 40, 5: (7 << 40) + 3}  # nodes by fingerprint
+    nodes = spark.createDataFrame([(n, 10 * n, fp) for n, fp in made.items()], "node long, size long, fp long")
+    got = {(*sorted((r["a"], r["b"])), r["m"], r["n"]) for r in similar.near(nodes).collect()}
+    assert {p[:2] for p in got} == {(1, 2), (1, 3), (4, 5)} and all({m, n} == {10 * a, 10 * b} for a, b, m, n in got)
