@@ -7,16 +7,23 @@ node with over 1 / PARTS of all edges, and over FLOOR, is not joined by a shuffl
 would put its edges into one task: there are fewer than PARTS such nodes, so they are
 broadcast to the edges. Rounds grow with the logarithm of the
 number of nodes; each is checkpointed, so lineage doesn't grow.
+
+FLOOR edges or fewer, whether from the start or after some rounds, are joined by one task
+without a shuffle: every round is some seven shuffles, which for so few edges are little
+but files.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import checkpointed
 
-#: A node with more edges than FLOOR and than 1 / PARTS of them is broadcast.
+#: So many edges are one task's work. Of more, a node with more than FLOOR and than 1 / PARTS of them is broadcast.
 FLOOR, PARTS = 100_000, 4096
 
 
@@ -24,13 +31,29 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: longs a, b. Returns node, component (the smallest node reachable), for nodes that have an edge."""
     now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = state(now)
-    while seen[0]:
+    while seen[0] > FLOOR:
         now = checkpointed(large_star(now, seen[0]))
         now = checkpointed(small_star(now, seen[0]))
         then, seen = seen, state(now)
         if then == seen:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
+    return checkpointed(now.coalesce(1).mapInArrow(joined, "node long, component long"))
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, component of all edges a, b."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            top[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int64()), pa.array([root(x) for x in top], pa.int64())], names=["node", "component"])
 
 
 def state(edges: DataFrame) -> tuple:
@@ -42,8 +65,6 @@ def state(edges: DataFrame) -> tuple:
 def met(edges: DataFrame, by: str, least: DataFrame, many: int) -> DataFrame:
     """edges (many of them, or fewer) with m of least (node, m), null if it isn't there, for the node in column by."""
     least = least.withColumnRenamed("node", by)
-    if many <= FLOOR:
-        return edges.join(least, by, "left")
     heavy = edges.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(FLOOR, many // PARTS)).select(by)  # fewer than PARTS rows
     hot = edges.join(F.broadcast(heavy.join(least, by, "left")), by)
     return edges.join(F.broadcast(heavy), by, "left_anti").join(least, by, "left").unionByName(hot)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.llm.common import checkpointed, table, with_row_id
+from tessel.llm.common import checkpointed, shuffles_released, table, with_row_id
 from tessel.llm.components import components
 from tessel.llm.xxh import xxh64
 
@@ -158,7 +158,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = with_row_id(docs, "row of the table")
     from tessel.llm import similar  # it builds on this module
 
-    group_of = similar.groups(named)
+    with shuffles_released(spark):
+        group_of = similar.groups(named)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("row of the table"))).alias("first")
     kept = group_of.groupBy("component").agg(first).select(F.col("first")["row of the table"].alias("row of the table"))
     return named.join(kept, "row of the table", "left_semi").select(*docs.columns)

@@ -7,6 +7,7 @@ import hashlib
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -306,6 +307,21 @@ def test_components_with_hubs(spark, monkeypatch):
     assert want == {n: t for n, t in top.items() if any(a != b and n in (a, b) for a, b in edges)}
 
 
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    """FLOOR edges or fewer are joined in one task, to the components that rounds find."""
+    r = np.random.default_rng(9)
+    edges = [(i, i + 1) for i in range(40)] + [(int(x) << 40, -int(y)) for x, y in r.integers(1, 90, (60, 2))] + [(7, 7)]
+    for few in (edges, []):
+        table = spark.createDataFrame(few, "a long, b long")
+        with monkeypatch.context() as m:
+            m.setattr(graph, "FLOOR", -1)
+            want = sorted(graph.components(table).collect())
+        with monkeypatch.context() as m:
+            m.setattr(graph, "large_star", None)
+            assert sorted(graph.components(table).collect()) == want
+        assert bool(want) == bool(few)
+
+
 # --- 4 quality ---------------------------------------------------------------------------
 
 
@@ -997,3 +1013,20 @@ def test_near_dedup_links_by_simhash(spark, monkeypatch):
     nodes = spark.createDataFrame([(n, 10 * n, fp) for n, fp in made.items()], "node long, size long, fp long")
     got = {(*sorted((r["a"], r["b"])), r["m"], r["n"]) for r in similar.near(nodes).collect()}
     assert {p[:2] for p in got} == {(1, 2), (1, 3), (4, 5)} and all({m, n} == {10 * a, 10 * b} for a, b, m, n in got)
+
+
+def test_near_dedup_leaves_no_shuffles(spark):
+    """The stage's queries are many: of each one that is over no shuffle file stays."""
+    texts = [t for seed in range(6) for t in near_copies(seed, 4, 2)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    jvm = spark.sparkContext._jvm
+    folders = list(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    kept = lambda: {p.name for d in folders for p in Path(d).rglob("shuffle_*")}
+    before = kept()
+    out = simhash.stage(spark, rows, "")
+    wait = time.time() + 10
+    while kept() - before and time.time() < wait:  # files go in the background
+        time.sleep(0.1)
+    assert not kept() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert sorted(r["doc_id"] for r in out.collect()) == kept_of_similar(texts)
